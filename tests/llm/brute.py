@@ -37,7 +37,7 @@ def op2(docs: list[tuple]) -> dict:
     for i, text in docs:
         w = ALNUM.findall((text or "").translate(AZ))
         found = [(k, k + len(p) - 1, label) for phrase, label in phrases.items() for p in [phrase.split()] for k in range(len(w) - len(p) + 1) if w[k : k + len(p)] == p]
-        out[i] = (len(w), len(found), min((f[0] for f in found), default=None), max((f[1] for f in found), default=None), ",".join(sorted({f[2] for f in found})))
+        out[i] = (len(w), len(found), min((f[0] for f in found), default=None), max((f[0] for f in found), default=None), ",".join(sorted({f[2] for f in found})))
     return out
 
 
@@ -103,6 +103,17 @@ def op8(docs: list[tuple], n: int = 4, percent: int = 85) -> dict:
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
+def op9(pages: list[tuple]) -> dict:
+    rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+    out = {}
+    for i, url in pages:
+        m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].translate(AZ), m[2]) if m else ("", "")
+        fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        out[i] = (host, path, *(max(fits)[1:] if fits else (None, None)))
+    return out
+
+
 def op10(pages: list[tuple]) -> dict:
     first, out = {}, {}
     for i, html in sorted(pages):

@@ -71,6 +71,35 @@ def test_op1(spark, folder):
     assert got == brute.op1(rows(spark, folder, "documents", "doc_id", "text"))
 
 
+def test_op2(spark, folder):
+    got = result(spark, Q.op2_license_scan, folder, "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert got == brute.op2(rows(spark, folder, "documents", "doc_id", "text"))
+
+
+def test_op4(spark, folder):
+    from tokenizers import Tokenizer
+
+    t, start, expected = Tokenizer.from_file(Q.tokenizer("word_bpe_49k.json")), 0, {}
+    for i, text in sorted(rows(spark, folder, "documents", "doc_id", "text")):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        expected[i] = (start, len(ids), brute.crc(ids))
+        start += len(ids)
+    assert result(spark, Q.op4_token_files, folder, "start", "n_tokens", "ids_crc32") == expected
+
+
+def test_op5(spark, folder):
+    import tiktoken
+
+    from threadloom.llm import bpe
+
+    c = bpe.Codec(Q.tokenizer("byte_bpe_multi_50k.tiktoken"), Q.pattern())
+    t, expected = tiktoken.Encoding("own", pat_str=Q.pattern(), mergeable_ranks=c.ranks, special_tokens={}), {}
+    for i, text in rows(spark, folder, "documents", "doc_id", "text"):
+        ids = t.encode_ordinary(text or "")
+        expected[i] = (len(ids), brute.sha(b"".join(x.to_bytes(4, "little") for x in ids)), brute.sha(text or ""))
+    assert result(spark, Q.op5_byte_bpe, folder, "n_tokens", "ids_sha256", "decoded_sha256") == expected
+
+
 def test_op3(spark, folder):
     got = result(spark, Q.op3_decontamination, folder, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == brute.op3(rows(spark, folder, "documents", "doc_id", "text"), rows(spark, folder, "benchmark", "item_id", "text"))
@@ -81,6 +110,18 @@ def test_op6(spark, folder):
     assert got == brute.op6(rows(spark, folder, "documents", "doc_id", "text"))
 
 
+def test_op9(spark, folder):
+    got = result(spark, Q.op9_url_filter, folder, "host", "path", "rule", "verdict")
+    expected = brute.op9(rows(spark, folder, "pages", "page_id", "url"))
+    assert {k: v[:3] for k, v in got.items()} == {k: v[:3] for k, v in expected.items()}
+    assert all(v[3] == expected[k][3] for k, v in got.items() if v[2]) and {v[3] for v in got.values()} <= {"allow", "block"}
+
+
+def test_op10(spark, folder):
+    got = result(spark, Q.op10_warc, folder, "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert got == brute.op10(rows(spark, folder, "pages", "page_id", "html"))
+
+
 @pytest.mark.parametrize("name", list(Q.queries()))
 def test_empty_tables(spark, empty, name):
     assert Q.queries()[name](spark, empty).count() == 0

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 BLOCKS = 1 << 16
 
 
-def range_sharded(df: DataFrame, key: str, size: str, shard_bytes: int) -> DataFrame:
-    """``df`` with ``__shard``, ascending with the integer ``key``; null keys come last.
+def range_sharded(df: DataFrame, key: str, size: str, shard_bytes: int, onto: DataFrame | None = None) -> DataFrame:
+    """``onto``, or else ``df``, with ``__shard``, ascending with the integer ``key``; null keys come last.
 
     The span of keys is cut into at most ``BLOCKS`` blocks of one width, whose bytes
     (``size``) are summed exactly; runs of blocks of about ``shard_bytes`` make a shard.
@@ -33,7 +33,7 @@ def range_sharded(df: DataFrame, key: str, size: str, shard_bytes: int) -> DataF
         full += n
         out.append((b, shard))
     table = df.sparkSession.createDataFrame(out, "__block int, __shard int")
-    return df.withColumn("__block", block).join(F.broadcast(table), "__block").drop("__block")
+    return (onto if onto is not None else df).withColumn("__block", block).join(F.broadcast(table), "__block").drop("__block")
 
 
 def by_shard(df: DataFrame, *order: str) -> DataFrame:
