@@ -110,6 +110,11 @@ def test_op6(spark, folder):
     assert got == brute.op6(rows(spark, folder, "documents", "doc_id", "text"))
 
 
+def test_op8(spark, folder):
+    got = result(spark, Q.op8_jaccard_join, folder, "n_shingles", "component_id")
+    assert got == brute.op8(rows(spark, folder, "documents", "doc_id", "text"))
+
+
 def test_op9(spark, folder):
     got = result(spark, Q.op9_url_filter, folder, "host", "path", "rule", "verdict")
     expected = brute.op9(rows(spark, folder, "pages", "page_id", "url"))

@@ -4,8 +4,9 @@ A rule's verdict comes first. For the other URLs, the paths of each host make a
 segments that hold digits become the wildcards `#` (digits alone) or `*`; of the other
 segments, rare ones become `*`, level by level, and so do sibling branches that are
 statistically alike (the same share of blocked URLs by a two-proportion test against all
-siblings, and a similar mix of what follows). A template is rejected when its smoothed
-share of blocked URLs, among those that rules have labelled, reaches ``REJECT``; smoothing
+siblings, and a similar mix of what follows). A template is rejected when rules have
+labelled at least ``MIN_LABELLED`` of its URLs and the smoothed share of blocked ones
+among these reaches ``REJECT``; smoothing
 draws it to the share of its host, and that to the share of all.
 
 Scale: URLs are first counted by (host, shape) with map-side combining. Segments that few
@@ -29,7 +30,7 @@ from ._store import stored
 
 #: Verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-DEPTH, MIN_SHARE, ALIKE, WEIGHT, REJECT = 6, 0.02, 0.2, 2.0, 0.8
+DEPTH, MIN_SHARE, ALIKE, WEIGHT, REJECT, MIN_LABELLED = 6, 0.02, 0.2, 2.0, 0.8, 3
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -96,7 +97,7 @@ def templates(counted: DataFrame, depth: int) -> DataFrame:
     own, host = Window.partitionBy("host", "template"), Window.partitionBy("host")
     prior = (F.sum("blocked").over(host) + WEIGHT * share) / (F.sum("labelled").over(host) + WEIGHT)
     purity = (F.sum("blocked").over(own) + WEIGHT * F.col("prior")) / (F.sum("labelled").over(own) + WEIGHT)
-    return tree.withColumn("prior", prior).withColumn("purity", purity).select("host", "shape", "template", "purity")
+    return tree.withColumn("prior", prior).withColumn("purity", purity).withColumn("seen", F.sum("labelled").over(own)).select("host", "shape", "template", "purity", "seen")
 
 
 def judged(pages: DataFrame, *keep: str, column: str = "url", rules=RULES) -> DataFrame:
@@ -111,5 +112,5 @@ def judged(pages: DataFrame, *keep: str, column: str = "url", rules=RULES) -> Da
     counted = stored(general(shapes, often).groupBy("host", "shape").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked"))), "templates")
     depth = counted.agg(F.max(F.size("shape"))).first()[0] or 0
     known = templates(counted, depth)
-    learned = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
+    learned = F.when((F.col("purity") >= REJECT) & (F.col("seen") >= MIN_LABELLED), "block").otherwise("allow")
     return general(rows, often).join(known, ["host", "shape"], "left").select(*keep, "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
