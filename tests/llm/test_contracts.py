@@ -110,6 +110,19 @@ def test_op6(spark, folder):
     assert got == brute.op6(rows(spark, folder, "documents", "doc_id", "text"))
 
 
+def test_op7(spark):
+    import html
+    import re
+
+    blocks = re.compile(r"<(?:br|/?p|/?h1)>")
+    expected = {}
+    for i, page in rows(spark, SMALL, "pages", "page_id", "html"):
+        story = blocks.sub(" ", re.search(r"<article>(.*?)</article>", page, re.S)[1])
+        text = re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>", "", story))).strip()
+        expected[i] = (text, len(text))
+    assert result(spark, Q.op7_html_text, SMALL, "text", "n_chars") == expected
+
+
 def test_op8(spark, folder):
     got = result(spark, Q.op8_jaccard_join, folder, "n_shingles", "component_id")
     assert got == brute.op8(rows(spark, folder, "documents", "doc_id", "text"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, decontaminate, jaccard, licenses, lines, quality, token_files, urls, warc
+from . import bpe, decontaminate, html_text, jaccard, licenses, lines, quality, token_files, urls, warc
 from ._store import new_folder
 
 TOKENIZERS = os.environ.get("THREADLOOM_TOKENIZERS", "")
@@ -73,6 +73,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"), "page_id", "url")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
@@ -88,7 +92,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_decontamination, op4_token_files, op5_byte_bpe, op6_line_dedup, op8_jaccard_join, op9_url_filter, op10_warc)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_decontamination, op4_token_files, op5_byte_bpe, op6_line_dedup, op7_html_text, op8_jaccard_join, op9_url_filter, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
