@@ -36,6 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
@@ -53,7 +54,8 @@ BITS, RATIO, SPARE = 512, 1.3, 0.2
 CHUNK, TEXTS = 1 << 20, 2048
 #: Ids of a broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-ROUNDS = 3
+#: A table of so many rows is one partition.
+SMALL = 100_000
 
 
 class Sets(NamedTuple):
@@ -267,6 +269,13 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, percen
     return stored(both.select("node", "pivot", "text_a", "text_b").mapInArrow(run, "node long, pivot long"), "links")
 
 
+def _compact(df: DataFrame, kind: str) -> tuple[DataFrame, bool]:
+    """``df`` stored; of no more than ``SMALL`` rows in one partition, so that what follows needs no shuffle; and whether it is empty."""
+    df = stored(df, kind)
+    n = df.count()
+    return (df.coalesce(1) if n <= SMALL else df), n == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of each node in ``links`` (node, pivot): the least node of its component.
 
@@ -274,32 +283,41 @@ def components(links: DataFrame) -> DataFrame:
     edges between labels are contracted, and so on until none is left. Counts only reach
     the driver.
     """
-    edges = links.select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
-    roots = None
+    edges, roots = links.select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct(), None
     while True:
-        edges = stored(edges, "edges")
-        if edges.isEmpty():
+        edges, none = _compact(edges, "edges")
+        if none:
             break
         up = edges.groupBy("u").agg(F.min("v").alias("up"))
-        up = up.unionByName(edges.select("v").distinct().join(up, F.col("v") == F.col("u"), "left_anti").select(F.col("v").alias("u"), F.col("v").alias("up")))
+        tops = edges.select(F.col("v").alias("u"), F.col("v").alias("up")).distinct().join(up.select("u"), "u", "left_anti")
+        up = up.unionByName(tops).withColumn("moved", F.lit(True))
         while True:
-            up = stored(up, "forest")
-            over = up.select(F.col("u").alias("_u"), F.col("up").alias("_up"))
-            jumped = up.join(over, F.col("up") == F.col("_u")).select("u", F.col("_up").alias("up"), (F.col("_up") != F.col("up")).alias("moved"))
-            jumped = stored(jumped, "jumped")
-            up = jumped.drop("moved")
-            if jumped.where("moved").isEmpty():
+            up, _ = _compact(up, "forest")
+            if up.where("moved").isEmpty():
                 break
+            over = up.select(F.col("u").alias("_u"), F.col("up").alias("_up"))
+            up = up.join(over, F.col("up") == F.col("_u")).select("u", F.col("_up").alias("up"), (F.col("_up") != F.col("up")).alias("moved"))
+        up = up.select("u", "up")
         if roots is None:
             roots = up.select(F.col("u").alias("node"), F.col("up").alias("root"))
         else:
             roots = roots.join(up, F.col("root") == F.col("u"), "left").select("node", F.coalesce("up", "root").alias("root"))
-        roots = stored(roots, "roots")
+        roots, _ = _compact(roots, "roots")
         a, b = up.select(F.col("u"), F.col("up").alias("a")), up.select(F.col("u").alias("v"), F.col("up").alias("b"))
         edges = edges.join(a, "u").join(b, "v").where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     return roots if roots is not None else links.select("node", F.col("pivot").alias("root"))
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after more ``links``: only what these join is worked out again."""
+    own, other = roots.select("node", F.col("root").alias("a")), roots.select(F.col("node").alias("pivot"), F.col("root").alias("b"))
+    new = links.join(own, "node", "left").join(other, "pivot", "left").select(F.coalesce("a", "node").alias("node"), F.coalesce("b", "pivot").alias("pivot"))
+    moved = components(new.where(F.col("node") != F.col("pivot"))).select(F.col("node").alias("label"), F.col("root").alias("to"))
+    # labels that were no root before are nodes seen for the first time
+    both = roots.join(moved, F.col("root") == F.col("label"), "full")
+    return _compact(both.select(F.coalesce("node", "label").alias("node"), F.coalesce("to", "root").alias("root")).distinct(), "roots")[0]
+
+
 def joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, node, component_id) of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -310,7 +328,8 @@ def joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     links = verified(candidates(members, known, percent), docs, known, n, percent)
     roots = components(links)
     everyone = members.select("key", "node").unionByName(members.select("key", F.col("pivot").alias("node"))).distinct()
-    for turn in range(ROUNDS):
+    before = float("inf")
+    for turn in count():
         labelled = everyone.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         parts = labelled.groupBy("key", "root").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)), "node"))["node"].alias("lead"))
         mixed = parts.groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"), F.max(F.struct("m", "lead"))["lead"].alias("pivot"), F.count("*").alias("parts")).where(F.col("parts") > 1)
@@ -319,7 +338,9 @@ def joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
         if not left["rows"]:
             break
         open_ = labelled.join(mixed.select("key", "pivot"), "key")
-        last = turn == ROUNDS - 1 or left["pairs"] <= 8 * left["rows"]
+        # new pivots as long as they leave far fewer pairs to compare
+        last = left["pairs"] <= 8 * left["rows"] or left["pairs"] > before / 2
+        before = left["pairs"]
         if last:
             a = open_.select("key", "node", "root").join(known.select("node", "size", "bits"), "node")
             b = a.select(*(F.col(c).alias(f"{c}_b") for c in ("key", "node", "root", "size", "bits")))
@@ -331,8 +352,7 @@ def joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
             pairs = candidates(open_.drop("pivot").join(pivots, "key").where(F.col("root") != F.col("pivot_root")).select("node", "pivot"), known, percent)
         more = verified(pairs, docs, known, n, percent)
         if not more.isEmpty():
-            links = stored(links.unionByName(more), "links")
-            roots = components(links)
+            roots = merged(roots, more)
         if last:
             break
     release(spark)
