@@ -35,6 +35,11 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def _word_hashes(words: Column) -> Column:
+    """Numbers in place of words: windows of numbers are hashed in place, without an object for each word."""
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
+
+
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """(key, length, passage, items): each distinct window and the items that have it."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), _words(ascii_lower(F.col("text"))).alias("words"))
@@ -42,10 +47,10 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     each = items.select("item", "length", "words", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1)).alias("at"))
     each = each.select("item", "length", F.slice("words", F.col("at"), F.col("length")).alias("w"))
     passages = each.groupBy("length", F.array_join("w", " ").alias("passage")).agg(F.sort_array(F.collect_set("item")).alias("items"))
-    low = F.transform(F.split("passage", " "), F.lower)
+    passages = passages.withColumn("h", _word_hashes(F.split("passage", " ")))
     key = F.lit(None).cast("bigint")
     for n in range(size, 0, -1):
-        key = F.when(F.col("length") == n, F.xxhash64(*(F.get(low, F.lit(k)) for k in range(n)))).otherwise(key)
+        key = F.when(F.col("length") == n, F.xxhash64(*(F.get("h", F.lit(k)) for k in range(n)))).otherwise(key)
     return passages.select(key.alias("key"), "length", "passage", "items")
 
 
@@ -60,11 +65,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     lengths = [r[0] for r in table.select("length").distinct().orderBy(F.desc("length")).collect()] or [size]  # at most WINDOW values
     held = table.agg(F.coalesce(F.sum(F.octet_length("passage") + F.octet_length(F.array_join("items", ",")) + 96), F.lit(0))).first()[0]
     raw = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("raw"))
-    raw = raw.withColumn("low", F.transform("raw", F.lower)).withColumn("n_words", F.size("raw").cast("long"))
-    at = raw.select("doc_id", "text_hash", "n_words", "raw", "low", F.posexplode_outer("low").alias("at", "_w"))
+    raw = raw.withColumn("h", _word_hashes(F.col("raw"))).withColumn("n_words", F.size("raw").cast("long"))
+    at = raw.select("doc_id", "text_hash", "n_words", "raw", "h", F.posexplode_outer("h").alias("at", "_w"))
 
     def probe(n: int) -> Column:
-        return F.when(F.col("at") + n <= F.col("n_words"), F.xxhash64(*(F.get("low", F.col("at") + k) for k in range(n))))
+        return F.when(F.col("at") + n <= F.col("n_words"), F.xxhash64(*(F.get("h", F.col("at") + k) for k in range(n))))
 
     if len(lengths) == 1:
         at = at.withColumn("n", F.lit(lengths[0])).withColumn("probe", probe(lengths[0]))
@@ -72,11 +77,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
         at = at.select("*", F.inline(F.array(*(F.struct(F.lit(n).alias("n"), probe(n).alias("probe")) for n in lengths))))
     right = F.broadcast(table) if held <= BROADCAST_BYTES else table
     same = F.translate(F.array_join(F.slice("raw", F.col("at") + 1, F.col("n")), " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") == F.col("passage")
-    both = at.join(right, (F.col("probe") == F.col("key")) & (F.col("n") == F.col("length")) & same, "left")
+    # not part of the join's condition: as a join key, the words would be put together at every position
+    both = at.join(right, (F.col("probe") == F.col("key")) & (F.col("n") == F.col("length")), "left")
     first = (F.coalesce(F.col("at"), F.lit(0)) == 0) & (F.col("n") == lengths[0])
-    both = both.withColumn("first", first).where(F.col("first") | F.col("key").isNotNull())
-    hit = F.col("key").isNotNull()
-    return both.select("doc_id", "text_hash", "n_words", "first", F.when(hit, F.col("at")).alias("from_"), F.when(hit, F.col("at") + F.col("n")).alias("to"), "items")
+    both = both.withColumn("first", first).withColumn("hit", F.when(F.col("key").isNotNull(), same).otherwise(False)).where(F.col("first") | F.col("hit"))
+    hit = F.col("hit")
+    return both.select("doc_id", "text_hash", "n_words", "first", F.when(hit, F.col("at")).alias("from_"), F.when(hit, F.col("at") + F.col("n")).alias("to"), F.when(hit, F.col("items")).alias("items"))
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, percent: int = PERCENT) -> DataFrame:
