@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, decontaminate, html_text, jaccard, licenses, lines, quality, token_files, urls, warc
+from . import bpe, decontaminate, html_text, jaccard, licenses, lines, oracles, quality, token_files, urls, warc
 from ._store import new_folder
 
 TOKENIZERS = os.environ.get("THREADLOOM_TOKENIZERS", "")
@@ -96,4 +96,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
