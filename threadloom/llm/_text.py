@@ -63,7 +63,8 @@ class Words(NamedTuple):
         return self.buf[self.start[i] : self.start[i] + self.length[i]].tobytes()
 
 
-def words(texts: list[bytes], kind: np.ndarray, lower: bool) -> Words:
+def words(texts: list[bytes], kind: np.ndarray, lower: bool, cut: np.ndarray | None = None) -> Words:
+    """Runs of bytes of ``kind``; with ``cut``, also divided between bytes of classes 1 and 2 of that table."""
     raw = b"\n".join(texts) + b"\n" + bytes(16)
     if lower:
         raw = raw.translate(ASCII_LOWER)
@@ -76,6 +77,11 @@ def words(texts: list[bytes], kind: np.ndarray, lower: bool) -> Words:
     if inside[0]:
         edges = np.concatenate(([0], edges))
     start, end = edges[::2], edges[1::2]
+    if cut is not None:
+        group = cut[buf]
+        inner = np.flatnonzero(group[1:] * group[:-1] == 2) + 1
+        inner = inner[inside[inner] & inside[inner - 1]]
+        start, end = np.sort(np.concatenate([start, inner])), np.sort(np.concatenate([end, inner]))
     return Words(buf, at, start, end - start, np.searchsorted(start, at))
 
 

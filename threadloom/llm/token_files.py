@@ -45,11 +45,18 @@ SHARD_BYTES, FILE_TOKENS = 8 << 20, 8 << 20
 NO_ID = 2**63 - 1
 
 
+#: ASCII letters, and ASCII marks but those of contractions and special tokens.
+CUT = np.zeros(256, np.uint8)
+CUT[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 1
+CUT[list(b'!"#$%&()*+,-./:;=?@[\\]^_`{}~')] = 2
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizers file whose pre-tokenizer drops white space.
+    """Ids of texts by a tokenizers file that lower-cases, drops white space, and parts letters from marks.
 
-    No token and no special token of such a tokenizer spans ASCII white space, so each
-    distinct run between white space is encoded once, by the library.
+    No token of such a tokenizer spans ASCII white space, or an ASCII letter and a mark of
+    ``CUT`` beside it, so each distinct piece between those is encoded once, by the library.
+    A-Z are lower-cased first, but where a block may hold a special token.
     """
 
     LIMIT = 1_000_000
@@ -67,7 +74,7 @@ class WordEncoder:
         self.places = np.zeros((1 << 12, 2), np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
-        for enc, w in zip(self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), new):
+        for enc, w in zip(self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), new):
             ids = enc.ids
             while self.used + len(ids) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
@@ -80,7 +87,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts, and how many each text has."""
-        w = X.words(texts, X.NOT_WHITE, lower=False)
+        w = X.words(texts, X.NOT_WHITE, lower=not any(b"<|" in t for t in texts), cut=CUT)
         if not len(w.start):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         _, first, back = np.unique(X.hashes(w), return_index=True, return_inverse=True)
@@ -88,9 +95,11 @@ class WordEncoder:
         distinct = [body[a : a + n] for a, n in zip(w.start[first].tolist(), w.length[first].tolist())]
         if len(self.known) > self.LIMIT:
             self.forget()
-        if new := [x for x in distinct if x not in self.known]:
-            self._learn(new)
-        at = self.places[[self.known[x] for x in distinct]][back]
+        found = [self.known.get(x, -1) for x in distinct]
+        if -1 in found:
+            self._learn([x for x, k in zip(distinct, found) if k < 0])
+            found = [self.known[x] if k < 0 else k for x, k in zip(distinct, found)]
+        at = self.places[found][back]
         total = np.concatenate(([0], np.cumsum(at[:, 1])))
         ids = self.pool[np.repeat(at[:, 0] - total[:-1], at[:, 1]) + np.arange(total[-1])]
         return ids, np.diff(total[w.first])
