@@ -1,7 +1,11 @@
-"""A session with the settings that the operators rely on; a cluster's own settings stay."""
+"""A session with the settings that the operators rely on, and the package's way to the executors."""
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -9,3 +13,17 @@ def session(name: str, **conf: str) -> SparkSession:
     """UTC, adaptive plans and dynamic partition overwrite, and whatever else is given."""
     fixed = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.sources.partitionOverwriteMode": "dynamic"}
     return SparkSession.builder.appName(name).config(map=fixed | conf).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each context, so that it need not be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_threadloom_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="threadloom-")) / "threadloom.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    context.addPyFile(str(target))
+    context._threadloom_shipped = True

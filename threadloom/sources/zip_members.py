@@ -18,6 +18,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import constants as K
+from ..session import ship
 from .strict_json import array_items, file_chunks
 
 
@@ -135,6 +136,7 @@ class JsonArray(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     for source in (ZipMembers, JsonArray):
         spark.dataSource.register(source)
 
