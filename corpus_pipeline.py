@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from threadloom.llm import bpe, decontaminate, jaccard, lines, quality
 from threadloom.llm._store import stored
 from threadloom.llm.queries import pattern, tokenizer
+from threadloom.session import ship
 from threadloom.sources.tables import table
 
 
@@ -23,16 +24,19 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    ship(spark)
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has go; so do documents that lose all their words."""
+    ship(spark)
     return _recounted(lines.deduplicated(docs))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) the smallest doc_id stays."""
+    ship(spark)
     return jaccard.one_of_each(docs, n=5, percent=80)
 
 
@@ -43,6 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, little-endian 32-bit integers, with the digest of what they decode to."""
+    ship(spark)
     path, split = tokenizer("byte_bpe_multi_50k.tiktoken"), pattern()
     ids = bpe.encoded(docs, "doc_id", "lang", "source", path=path, pattern=split)
     out = bpe.decoded(ids, "doc_id", "lang", "source", "n_tokens", "ids", path=path, pattern=split)

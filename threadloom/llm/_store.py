@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; only where that is unset, a folder of this machine, as in tests."""
@@ -38,9 +40,17 @@ def remove(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """``df``, written once as Parquet in the shared folder and read from there: no lineage, only the columns asked for are read again."""
     spark = df.sparkSession
+    ship(spark)
     path = new_folder(spark, kind)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a stored table that no plan reads any more."""
+    remove(df.sparkSession, df.stored_at)
 
 
 def release(spark: SparkSession) -> None:
