@@ -10,7 +10,7 @@ from threadloom.functions.errors import CodeError
 from threadloom.operators import discovery
 from threadloom.operators.index import Index
 from threadloom.operators.linkage import build_aliases
-from threadloom.plans import indexing, inventory, reports, staging, verify, workspace
+from threadloom.plans import indexing, inventory, reports, selftest, staging, verify, workspace
 from threadloom.streaming import shards as stream
 
 from .made import CANARY, node, talk, talks, workspace as made_workspace
@@ -35,6 +35,9 @@ def verified(spark, ws, found):
 @pytest.fixture(scope="module")
 def manifest(spark, ws, verified):
     staging.stage(spark, ws)
+    with pytest.raises(CodeError, match="PARSER_TESTS_REQUIRED"):
+        indexing.build(spark, ws)
+    assert all(selftest.record(ws)["gates"].values())
     with pytest.raises(CodeError, match="SYNTHETIC_INTERRUPT"):
         indexing.build(spark, ws, interrupt_after=1)
     return indexing.build(spark, ws)
@@ -71,6 +74,13 @@ def test_index(spark, ws, manifest):
 
 
 def test_tampering(spark, ws, manifest):
+    record = ws.folder("phase2") / selftest.NAME
+    kept = record.read_text()
+    for key, code in (("parser_sha256", "PARSER_TESTS_PARSER_HASH"), ("index_sha256", "PARSER_TESTS_INDEX_HASH")):
+        record.write_text(json.dumps(json.loads(kept) | {key: "0" * 64}))
+        with pytest.raises(CodeError, match=code):
+            indexing.build(spark, ws)
+    record.write_text(kept)
     pointer = json.loads((ws.folder("phase2") / "staging_pointer.json").read_text())["relative_root"]
     target = next((ws.root / pointer / "metadata").iterdir())
     body = target.read_bytes()

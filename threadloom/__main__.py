@@ -1,4 +1,4 @@
-"""python -m threadloom [version | inventory | reports | verify | stage | index] WORKSPACE"""
+"""python -m threadloom [version | inventory | reports | verify | stage | selftest | index] WORKSPACE"""
 
 from __future__ import annotations
 
@@ -12,10 +12,10 @@ def main(args: list[str]) -> int:
     if not args or args[0] in ("version", "--version"):
         print(f"threadloom {__version__}")
         return 0
-    if len(args) != 2 or args[0] not in ("inventory", "reports", "verify", "stage", "index"):
+    if len(args) != 2 or args[0] not in ("inventory", "reports", "verify", "stage", "selftest", "index"):
         print(__doc__)
         return 2
-    from .plans import indexing, inventory, reports, staging, verify
+    from .plans import indexing, inventory, reports, selftest, staging, verify
     from .plans.workspace import open_workspace
     from .session import session
 
@@ -26,6 +26,7 @@ def main(args: list[str]) -> int:
         "reports": lambda: reports.phase1_reports(ws, inventory.load(ws)),
         "verify": lambda: print(f"PASS: {len(verify.verify(spark, ws))} checks"),
         "stage": lambda: print(f"STAGED files={len(staging.stage(spark, ws)['files'])}"),
+        "selftest": lambda: print("PASS" if selftest.record(ws)["pass"] else "FAIL"),
         "index": lambda: print(json.dumps({"result": "VERIFIED_COMPLETE", "summary": indexing.build(spark, ws)["summary"]})),
     }[args[0]]
     indexing.guarded(ws, run)

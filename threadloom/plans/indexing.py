@@ -17,6 +17,7 @@ from ..operators.index import TABLES, Index
 from ..operators.linkage import build_aliases
 from ..sources import strict_json
 from ..sources.zip_members import opened, read_arrays
+from . import selftest
 from . import staging as S
 from .workspace import RunLock, Workspace, atomic_write
 
@@ -65,6 +66,7 @@ def build(spark: SparkSession, ws: Workspace, interrupt_after: int | None = None
     ws.preflight()
     out = ws.folder("phase2")
     with RunLock(out / "run.lock"):
+        tests = selftest.required(ws)
         pointer = json.loads((out / "staging_pointer.json").read_text(encoding="utf-8"))
         folder = ws.inside(pointer["relative_root"])
         ledger, archive = S.read_ledger(folder), ws.source_zip()
@@ -80,6 +82,7 @@ def build(spark: SparkSession, ws: Workspace, interrupt_after: int | None = None
         raw = read_arrays(spark, files)
         for k, shard in enumerate(files):
             index.add_shard(shard, read_arrays(spark, {shard: files[shard]}), aliases, interrupt=k == interrupt_after)
+            ws.room()
         t = tables(index)
         found = summary.summary(t)
         per_shard = checks.reconcile(t, found, checks.recount(raw))
@@ -89,8 +92,9 @@ def build(spark: SparkSession, ws: Workspace, interrupt_after: int | None = None
         _source_same(archive, ledger, "SOURCE_FINAL_CHANGED")
         there = {p.relative_to(folder).as_posix() for p in folder.rglob("*") if p.is_file()}
         need(there == {r["destination"] for r in ledger["files"].values()} | {S.LEDGER}, "UNEXPECTED_STAGED_FILE")
+        need(all(p.resolve().is_relative_to(ws.root) for p in ws.root.rglob("*")), "GENERATED_PATH_ESCAPE")
         shards = [[r["shard"], r["committed"], r["status"]] for r in index.shards().orderBy("shard").collect()]
-        validation = {"pass": True, "per_shard": per_shard, "counts": found["counts"], "staged_hashes_revalidated": len(ledger["files"]), "privacy": privacy, "graph_anomalies": found["anomalies"], "limitations": LIMITS}
+        validation = {"pass": True, "per_shard": per_shard, "counts": found["counts"], "staged_hashes_revalidated": len(ledger["files"]), "privacy": privacy, "parser_tests": tests, "graph_anomalies": found["anomalies"], "limitations": LIMITS}
         validation["structural_validity"] = "index_valid_with_source_graph_anomalies" if found["anomalies"] else "valid"
         manifest = {"version": INDEX_VERSION, "schema": SCHEMA_VERSION, "fingerprint": fingerprint, "source": ledger["source"], "status": "verified_complete", "shards": shards, "per_shard": per_shard, "metadata_mapping_stats": aliases.stats, "summary": found, "completed_at_utc": datetime.now(timezone.utc).isoformat()}
         discovery.expectations(manifest)

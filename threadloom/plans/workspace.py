@@ -158,8 +158,12 @@ class Workspace:
         need(python_satisfies(version or sys.version_info, self.config["runtime"]["python_requires"]), "PYTHON_VERSION_UNSUPPORTED", ConfigError)
         need(self.expected_root in (None, self.root), "WRONG_PROJECT", ConfigError)
         need(not any(p.is_symlink() for p in (self.root, *self.root.parents)), "REPARSE_ROOT", ConfigError)
-        room = max(FREE_DISK_FLOOR, self.config["expectations"]["min_free_bytes"])
-        need((shutil.disk_usage(self.root).free if free is None else free) >= room, "DISK_BUDGET", ConfigError)
+        self.room(free)
+
+    def room(self, free: int | None = None) -> None:
+        """The disk has what is asked for, and 2 GiB at least."""
+        least = max(FREE_DISK_FLOOR, self.config["expectations"]["min_free_bytes"])
+        need((shutil.disk_usage(self.root).free if free is None else free) >= least, "DISK_BUDGET", ConfigError)
 
     def summary(self, include_paths: bool = False) -> dict:
         """What may be shown; paths only if asked for."""
