@@ -64,8 +64,10 @@ def checked_timestamp(c: Column) -> Column:
 
 
 def iso_utc(c: Column) -> Column:
-    """Unix seconds as ISO 8601 in UTC; microseconds only where there are any. The session's time zone has to be UTC."""
-    at = F.timestamp_micros(F.round(c * 1_000_000).cast("long"))
-    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(at, "SSSSSS")
-    return F.concat(whole, F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("+00:00"))
+    """Unix seconds as ISO 8601 in UTC, in any session time zone; microseconds only where there are any."""
+    micros = F.round((c - F.floor(c)) * 1_000_000).cast("long")
+    seconds = F.floor(c).cast("long") + F.when(micros == 1_000_000, 1).otherwise(0)
+    day = F.floor(seconds / 86_400).cast("int")
+    at = seconds - day.cast("long") * 86_400
+    clock = F.format_string("T%02d:%02d:%02d", F.floor(at / 3600), F.floor(at / 60) % 60, at % 60)
+    return F.concat(F.date_from_unix_date(day).cast("string"), clock, F.when(micros.between(1, 999_999), F.format_string(".%06d", micros)).otherwise(""), F.lit("+00:00"))

@@ -39,6 +39,11 @@ def _signed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "n_chars", F.sha2("text", 256).alias("signature"))
 
 
+def _seconds(c):
+    """Unix seconds of a timestamp without zone, in any session time zone."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+
+
 def _host(c):
     return F.regexp_extract(c, "^[a-z]+://([^/?#]*)", 1)
 
@@ -208,13 +213,13 @@ def open_enum_census(spark, d):
 
 @query("SELECT 'ts' AS field, epoch(min(ts))::BIGINT AS \"min\", epoch(max(ts))::BIGINT AS \"max\", count(ts) AS present, count(*) - count(ts) AS missing FROM events")
 def time_bounds(spark, d):
-    rows = S.bounds(table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts")), "ts")
-    return rows.select("field", F.unix_seconds("min").alias("min"), F.unix_seconds("max").alias("max"), "present", "missing")
+    rows = S.bounds(table(spark, d, "events"), "ts")
+    return rows.select("field", _seconds(F.col("min")).alias("min"), _seconds(F.col("max")).alias("max"), "present", "missing")
 
 
 @query("SELECT strftime(date_trunc('second', min(o_orderdate)), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS first_utc, strftime(date_trunc('second', max(o_orderdate)), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS last_utc FROM orders")
 def iso_bounds(spark, d):
-    seconds = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    seconds = _seconds(F.col("o_orderdate"))
     return table(spark, d, "orders").agg(D.iso_utc(F.min(seconds)).alias("first_utc"), D.iso_utc(F.max(seconds)).alias("last_utc"))
 
 
