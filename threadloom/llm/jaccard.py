@@ -13,9 +13,10 @@ The number of bands depends on a size band: levels of ratio ``RATIO``; a documen
 lower end of its level also takes part in the level below, so any two sizes that can link
 meet in one level.
 
-Filter and check. A second sketch of ``BITS`` bits has one flip for each token; its Hamming
-distance is at most the symmetric difference and drops most false candidates. What is left
-is compared exactly, shingle by shingle.
+Filter and check. A second sketch has one bit flip for each token; its Hamming distance is at
+most the symmetric difference and drops nearly all false candidates, as its bits are a power of
+two no less than the set's size. Halves of a larger sketch XOR to the smaller one's length. What
+is left is compared exactly, shingle by shingle.
 
 Hot buckets. Documents that share a band's sketch are a bucket. Each is first compared to
 one pivot of its bucket: where rows of a bucket meet in a map task, to that task's pivot, so
@@ -47,9 +48,9 @@ from pyspark.sql import types as T
 
 from . import _text as X
 from ._sql import partitions
-from ._store import release, stored
+from ._store import discard, release, stored
 
-BITS, RATIO, SPARE = 512, 1.3, 0.2
+MIN_BITS, RATIO, SPARE = 256, 1.3, 0.2
 #: Keys in one chunk of a map task, texts in one block.
 CHUNK, TEXTS = 1 << 20, 2048
 #: Ids of a broadcast; more are joined by a shuffle.
@@ -123,7 +124,7 @@ def _keys(s: Sets, mixed: np.ndarray, text: np.ndarray, level: np.ndarray, lv: L
 
 
 def sketched(texts: list[bytes], n: int, percent: int) -> dict:
-    """Of each text: size, class (``node``), bit sketch and band keys."""
+    """Of each text: size, class (``node``), bit sketch in 64-bit words, and band keys."""
     s, lv = shingles(texts, n), levels(percent)
     sizes = np.diff(s.first)
     text = np.repeat(np.arange(len(texts)), sizes)
@@ -132,8 +133,10 @@ def sketched(texts: list[bytes], n: int, percent: int) -> dict:
     np.cumsum(X.mix(mixed * np.uint64(0xC6BC279692B5C323)), out=(sums := np.zeros(len(mixed) + 1, np.uint64))[1:])
     total = sums[s.first[1:]] - sums[s.first[:-1]]
     node = X.mix(total + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-    bits = np.bincount(text * BITS + (mixed & np.uint64(BITS - 1)).astype(np.int64), minlength=len(texts) * BITS) & 1
-    sketch = np.packbits(bits.reshape(len(texts), BITS).astype(np.uint8), axis=1)
+    length = np.maximum(MIN_BITS, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    at = np.concatenate(([0], np.cumsum(length)))
+    flips = np.bincount(at[text] + (mixed & (length[text] - 1).astype(np.uint64)).astype(np.int64), minlength=at[-1]) & 1
+    bits = np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
     level = np.searchsorted(lv.low, sizes, "right") - 1
     fresh = np.zeros(len(texts), bool)
     fresh[np.unique(node, return_index=True)[1]] = True
@@ -142,7 +145,7 @@ def sketched(texts: list[bytes], n: int, percent: int) -> dict:
     parts = [_keys(s, mixed, text, x, lv) for x in (level, below)]
     of, keys = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(of, kind="stable")
-    return {"sizes": sizes, "node": node, "sketch": sketch, "keys": keys[order].view(np.int64), "counts": np.bincount(of, minlength=len(texts))}
+    return {"sizes": sizes, "node": node, "bits": bits, "words": length // 64, "keys": keys[order].view(np.int64), "counts": np.bincount(of, minlength=len(texts))}
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -152,24 +155,26 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, size, node, sketch, keys) of each row; node is null for an empty set."""
+    """(doc_id, size, node, bits, keys) of each row; node is null for an empty set."""
+
+    def lists(counts: np.ndarray, values: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values))
+
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in _pieces(b["text"]):
                 x = sketched(texts, n, percent)
-                keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(x["counts"]))).astype(np.int32)), pa.array(x["keys"]))
                 node = pa.array(x["node"], mask=x["sizes"] == 0)
-                sketch = pa.array([r.tobytes() for r in x["sketch"]], pa.binary())
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(first, len(texts)), pa.array(x["sizes"].astype(np.int64)), node, sketch, keys], names=["doc_id", "size", "node", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(first, len(texts)), pa.array(x["sizes"].astype(np.int64)), node, lists(x["words"], x["bits"]), lists(x["counts"], x["keys"])], names=["doc_id", "size", "node", "bits", "keys"])
 
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("size", T.LongType()), T.StructField("node", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("size", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, pivot): in a chunk, a key's smallest node has no pivot, and is the pivot of the others."""
+def _collapse(heads: bool):
+    """Of each chunk of a map task: with ``heads`` each key's smallest node, else its other nodes with that one as pivot."""
 
     def out(keys: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         k, v = np.concatenate(keys), np.concatenate(nodes)
@@ -180,36 +185,52 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, v = k[new], v[new]
         head = np.ones(len(k), bool)
         head[1:] = k[1:] != k[:-1]
-        pivot = v[np.flatnonzero(head)][np.cumsum(head) - 1] if len(k) else v
-        table = pa.RecordBatch.from_arrays([pa.array(k), pa.array(v), pa.array(pivot, mask=head)], names=["key", "node", "pivot"])
-        for a in range(0, len(k), 1 << 16):
+        if heads:
+            table = pa.RecordBatch.from_arrays([pa.array(k[head]), pa.array(v[head])], names=["key", "node"])
+        else:
+            pivot = v[np.flatnonzero(head)][np.cumsum(head) - 1]
+            table = pa.RecordBatch.from_arrays([pa.array(x[~head]) for x in (k, v, pivot)], names=["key", "node", "pivot"])
+        for a in range(0, table.num_rows, 1 << 16):
             yield table.slice(a, 1 << 16)
 
-    keys, nodes, held = [], [], 0
-    for b in batches:
-        lists = b["keys"]
-        n = np.diff(lists.offsets.to_numpy())
-        keys.append(lists.flatten().to_numpy())
-        nodes.append(np.repeat(b["node"].fill_null(0).to_numpy(), n))
-        held += len(keys[-1])
-        if held > CHUNK:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, held = [], [], 0
+        for b in batches:
+            lists = b["keys"]
+            n = np.diff(lists.offsets.to_numpy())
+            keys.append(lists.flatten().to_numpy())
+            nodes.append(np.repeat(b["node"].fill_null(0).to_numpy(), n))
+            held += len(keys[-1])
+            if held > CHUNK:
+                yield from out(keys, nodes)
+                keys, nodes, held = [], [], 0
+        if held:
             yield from out(keys, nodes)
-            keys, nodes, held = [], [], 0
-    if held:
-        yield from out(keys, nodes)
+
+    return run
 
 
 def buckets(t: DataFrame) -> DataFrame:
-    """(key, node, pivot) of each member of a bucket but its pivots' own; a bucket's pivots are members too."""
-    rows = t.select("node", "keys").where(F.size("keys") > 0).mapInArrow(_collapse, "key long, node long, pivot long")
-    # rows that have a pivot already go anywhere; the others meet by key
-    rows = rows.withColumn("to", F.when(F.col("pivot").isNull(), F.col("key")).otherwise(F.xxhash64("node", "key"))).repartition(partitions(t), "to")
-    meet = Window.partitionBy("to", "key")
-    rows = rows.withColumn("least", F.min("node").over(meet))
-    return rows.select("key", "node", F.coalesce("pivot", "least").alias("pivot")).where(F.col("node") != F.col("pivot"))
+    """(key, node, pivot) of each member of a bucket but its pivots' own; a bucket's pivots are members too.
+
+    Chunks are collapsed twice, which is cheap, so that only keys and their smallest nodes are
+    shuffled.
+    """
+    rows = t.select("node", "keys").where(F.size("keys") > 0)
+    heads = rows.mapInArrow(_collapse(True), "key long, node long")
+    heads = heads.withColumn("pivot", F.min("node").over(Window.partitionBy("key"))).where(F.col("node") != F.col("pivot"))
+    return heads.unionByName(rows.mapInArrow(_collapse(False), "key long, node long, pivot long"))
+
+
+def _folded(a: Column, n: Column) -> Column:
+    """A sketch at the length of n words, which is its own or half of it."""
+    half = F.zip_with(F.slice(a, 1, n), F.slice(a, n + 1, n), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(a) == n, a).otherwise(half)
 
 
 def _hamming(a: Column, b: Column) -> Column:
+    n = F.least(F.size(a), F.size(b))
+    a, b = _folded(a, n), _folded(b, n)
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
@@ -221,9 +242,7 @@ def may_link(n: Column, m: Column, a: Column, b: Column, percent: int) -> Column
 
 def classes(t: DataFrame) -> DataFrame:
     """(node, size, bits, rep): rep is the smallest doc_id of the class."""
-    words = [F.conv(F.hex(F.substring("sketch", 1 + 4 * k, 4)), 16, 10).cast("long") for k in range(BITS // 32)]
-    slim = t.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    return slim.select("node", "size", "rep", F.array(*words).alias("bits"))
+    return t.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bits").alias("bits"))
 
 
 def candidates(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -321,35 +340,38 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 def joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, node, component_id) of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    t = stored(sketches(docs, n, percent), "sketches")
-    known = stored(classes(t), "classes")
-    members = stored(buckets(t), "buckets")
+    sketched_ = stored(sketches(docs, n, percent), "sketches")
+    t = stored(sketched_.select("doc_id", "size", "node"), "sizes")
+    known = stored(classes(sketched_), "classes")
+    members = stored(buckets(sketched_), "buckets")
+    discard(sketched_)
     release(spark)
-    links = verified(candidates(members, known, percent), docs, known, n, percent)
-    roots = components(links)
-    everyone = members.select("key", "node").unionByName(members.select("key", F.col("pivot").alias("node"))).distinct()
+    roots = components(verified(candidates(members, known, percent), docs, known, n, percent))
+    open_ = members.select("key", "node").unionByName(members.select("key", F.col("pivot").alias("node"))).distinct()
     before = float("inf")
     for turn in count():
-        labelled = everyone.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        release(spark)
+        labelled = open_.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         parts = labelled.groupBy("key", "root").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)), "node"))["node"].alias("lead"))
         mixed = parts.groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"), F.max(F.struct("m", "lead"))["lead"].alias("pivot"), F.count("*").alias("parts")).where(F.col("parts") > 1)
         mixed = stored(mixed, "mixed-buckets")
         left = mixed.agg(F.sum("all").alias("rows"), F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")).first()
         if not left["rows"]:
             break
-        open_ = labelled.join(mixed.select("key", "pivot"), "key")
+        # buckets in one component are done and go
+        labelled = stored(labelled.join(mixed.select("key", "pivot"), "key"), "open-buckets")
+        open_ = labelled.select("key", "node")
         # new pivots as long as they leave far fewer pairs to compare
         last = left["pairs"] <= 8 * left["rows"] or left["pairs"] > before / 2
         before = left["pairs"]
         if last:
-            a = open_.select("key", "node", "root").join(known.select("node", "size", "bits"), "node")
+            a = labelled.select("key", "node", "root").join(known.select("node", "size", "bits"), "node")
             b = a.select(*(F.col(c).alias(f"{c}_b") for c in ("key", "node", "root", "size", "bits")))
             fits = may_link(F.col("size"), F.col("size_b"), F.col("bits"), F.col("bits_b"), percent)
             pairs = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("node") > F.col("node_b")) & (F.col("root") != F.col("root_b")) & fits).select("node", F.col("node_b").alias("pivot")).distinct()
         else:
-            pivots = open_.select("key", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-            pivots = mixed.select("key", "pivot").join(pivots, ["key", "pivot"])
-            pairs = candidates(open_.drop("pivot").join(pivots, "key").where(F.col("root") != F.col("pivot_root")).select("node", "pivot"), known, percent)
+            pivots = labelled.where(F.col("node") == F.col("pivot")).select("key", F.col("root").alias("pivot_root"))
+            pairs = candidates(labelled.join(pivots, "key").where(F.col("root") != F.col("pivot_root")).select("node", "pivot"), known, percent)
         more = verified(pairs, docs, known, n, percent)
         if not more.isEmpty():
             roots = merged(roots, more)
