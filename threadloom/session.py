@@ -15,8 +15,20 @@ def session(name: str, **conf: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=fixed | conf).getOrCreate()
 
 
+#: Rows of an Arrow batch, so that batches of long texts stay small in executors and their Python workers.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each context, so that it need not be installed there."""
+    """Sends this package to the executors, once for each context, so that it need not be installed there.
+
+    Where the session has Spark's own sizes of Arrow batches, they become ``BATCH_ROWS`` and
+    ``BATCH_BYTES``; sizes that someone chose stay.
+    """
+    for key, usual, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", str(64 << 20), BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key) in (usual, f"{usual}b", "64MB"):
+            spark.conf.set(key, ours)
     context = spark.sparkContext
     if getattr(context, "_threadloom_shipped", False):
         return
