@@ -78,14 +78,16 @@ def count_block(texts: list[bytes]) -> dict[str, np.ndarray]:
     return out | {"n_dup_lines": dup, "n_lines": lines}
 
 
-def _count(column: str):
+def _count(column: str, field: str | None = None):
+    """Adds the ``COUNTS`` of a column, which goes, or of a field of a struct column, which stays."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            parts = [count_block(texts) for _, texts in X.blocks(b[column])]
+            parts = [count_block(texts) for _, texts in X.blocks(b[column].field(field) if field else b[column])]
             counts = [pa.array(np.concatenate([p[c] for p in parts]).astype(np.int64)) for c in COUNTS]
-            kept = [c for c in b.schema.names if c != column]
+            kept = [c for c in b.schema.names if field or c != column]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), *counts], names=[*kept, *COUNTS])
 
     return run
@@ -192,6 +194,6 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def _carried(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` as ``__doc``, with the counts of its text."""
-    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"), F.col("text").alias("__text"))
+    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"))
     schema = T.StructType([boxed.schema["__doc"], *(T.StructField(c, T.LongType()) for c in COUNTS)])
-    return boxed.mapInArrow(_count("__text"), schema)
+    return boxed.mapInArrow(_count("__doc", "text"), schema)
