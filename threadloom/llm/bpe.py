@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain, islice
@@ -31,65 +32,100 @@ from pyspark.sql import types as T
 
 from . import _text as X
 
-KNOWN, PIECES, LONG_TEXT = 1_500_000, 1 << 19, 1 << 21
+KNOWN, PAIRS, PIECES, LONG_TEXT = 120_000, 500_000, 1 << 19, 1 << 21
 
 
-def replay(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+class Merges:
+    """Ranks of pairs of tokens, which are known by their own ranks; a pair's rank is that of its bytes."""
+
+    SHIFT = 20
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.known: dict[int, int] = {}  # pair to rank, -1 for none
+
+    def rank(self, pair: int) -> int:
+        r = self.known.get(pair)
+        if r is None:
+            if len(self.known) >= PAIRS:
+                self.known = {}
+            a, b = pair >> self.SHIFT, pair & ((1 << self.SHIFT) - 1)
+            r = self.known[pair] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
+        return r
+
+
+def replay(pieces: list[bytes], merges: Merges) -> list[list[int]]:
     """Token ids of each piece; all of a pair's merges in the corpus happen when its rank is the lowest left.
 
-    Within a piece the leftmost pair of the lowest rank merges first. If that makes a
-    pair of a lower rank still, the piece's other merges of the same pair wait for it.
+    All pieces lie in one row of places, linked to their neighbours. Within a piece the
+    leftmost pair of the lowest rank merges first. If that makes a pair of a lower rank
+    still, the piece's other merges of the same pair wait for it.
     """
-    parts: list[list[bytes | None]] = []  # None: merged into the token before
-    after: list[list[int]] = []
-    before: list[list[int]] = []
-    index: dict[tuple[bytes, bytes], dict[int, list[int]]] = {}
-    heap: list[tuple[int, bytes, bytes]] = []
-
-    def put(a: bytes, b: bytes, piece: int, at: int) -> int | None:
-        rank = ranks.get(a + b)
-        if rank is None:
-            return None
-        places = index.get((a, b))
+    shift, single, rank_of = Merges.SHIFT, merges.single, merges.rank
+    token = [single[x] for x in b"".join(pieces)]
+    ends, n = [], 0
+    for p in pieces:
+        n += len(p)
+        ends.append(n)
+    right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+    start = 0
+    for e in ends:
+        if e > start:
+            left[start], right[e - 1] = -1, -1
+        start = e
+    index: dict[int, list[int]] = {}
+    for i, j in enumerate(right):
+        if j >= 0:
+            index.setdefault(token[i] << shift | token[j], []).append(i)
+    heap = [(r, pair) for pair in index if (r := rank_of(pair)) >= 0]
+    heapq.heapify(heap)
+
+    def put(pair: int, rank: int, at: int) -> None:
+        places = index.get(pair)
         if places is None:
-            places = index[a, b] = {}
-            heapq.heappush(heap, (rank, a, b))
-        heapq.heappush(places.setdefault(piece, []), at)
-        return rank
-
-    for k, p in enumerate(pieces):
-        n = len(p)
-        parts.append([p[i : i + 1] for i in range(n)])
-        after.append(list(range(1, n + 1)))
-        before.append(list(range(-1, n - 1)))
-        for i in range(n - 1):
-            put(p[i : i + 1], p[i + 1 : i + 2], k, i)
+            index[pair] = [at]
+            heapq.heappush(heap, (rank, pair))
+        else:
+            places.append(at)
+
     while heap:
-        rank, a, b = heapq.heappop(heap)
-        for k, places in index.pop((a, b)).items():
-            own, right, left = parts[k], after[k], before[k]
-            n = len(own)
-            while places:
-                i = heapq.heappop(places)
-                j = right[i]
-                if own[i] != a or j >= n or own[j] != b:
-                    continue
-                own[i], own[j] = a + b, None
-                right[i] = right[j]
-                if right[j] < n:
-                    left[right[j]] = i
-                lower = False
-                if left[i] >= 0:
-                    found = put(own[left[i]], a + b, k, left[i])
-                    lower = found is not None and found < rank
-                if right[i] < n:
-                    found = put(a + b, own[right[i]], k, i)
-                    lower = lower or found is not None and found < rank
-                if lower and places:
-                    for rest in places:
-                        put(a, b, k, rest)
-                    break
-    return [[ranks[t] for t in own if t is not None] for own in parts]
+        rank, pair = heapq.heappop(heap)
+        a, b = pair >> shift, pair & ((1 << shift) - 1)
+        places = index.pop(pair)
+        places.sort()
+        wait = -1  # places before this one wait for a lower rank
+        for i in places:
+            j = right[i]
+            if j < 0 or token[i] != a or token[j] != b:
+                continue
+            if i < wait:
+                put(pair, rank, i)
+                continue
+            k, h = right[j], left[i]
+            token[i], token[j], right[i] = rank, -1, k
+            lower = False
+            if k >= 0:
+                left[k] = i
+                new = rank << shift | token[k]
+                if (r := rank_of(new)) >= 0:
+                    put(new, r, i)
+                    lower = r < rank
+            if h >= 0:
+                new = token[h] << shift | rank
+                if (r := rank_of(new)) >= 0:
+                    put(new, r, h)
+                    lower = lower or r < rank
+            if lower:
+                wait = ends[bisect_right(ends, i)]
+    out, start = [], 0
+    for e in ends:
+        out.append([t for t in token[start:e] if t >= 0])
+        start = e
+    return out
 
 
 class Codec:
@@ -100,23 +136,29 @@ class Codec:
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
-        self.split = regex.compile(pattern)
-        self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
-        self.known: dict[str, bytes] = {}  # a piece's ids as little-endian 32-bit integers
+        self.split, self.merges = regex.compile(pattern), Merges(self.ranks)
+        self.tokens = self.merges.tokens
+        # a piece's ids as little-endian 32-bit integers; pieces that are not met for long go with ``older``
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, pieces: Iterable[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
+        if len(self.known) > KNOWN:
+            self.known, self.older = {}, self.known
+        new = []
+        for p in pieces:
+            if p not in self.known:
+                if (ids := self.older.get(p)) is not None:
+                    self.known[p] = ids
+                else:
+                    new.append(p)
         raw = [p.encode() for p in new]
         whole = [self.ranks.get(r) for r in raw]  # a piece that is a token stays whole
-        rest = iter(replay([r for r, t in zip(raw, whole) if t is None], self.ranks))
+        rest = iter(replay([r for r, t in zip(raw, whole) if t is None], self.merges))
         for p, t in zip(new, whole):
             self.known[p] = np.array(next(rest) if t is None else [t], "<u4").tobytes()
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KNOWN:
-            self.known = {}
         pieces = [self.split.findall(t) for t in texts]
         self.learn(set(chain.from_iterable(pieces)))
         known = self.known
@@ -126,8 +168,6 @@ class Codec:
         """The same in parts, so that a text's pieces are not all held at once."""
         found, out = (m.group() for m in self.split.finditer(text)), []
         while part := list(islice(found, PIECES)):
-            if len(self.known) > KNOWN:
-                self.known = {}
             self.learn(set(part))
             out.append(b"".join([self.known[x] for x in part]))
         return b"".join(out)
