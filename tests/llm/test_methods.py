@@ -112,3 +112,36 @@ def test_verdicts_follow_the_votes(spark):
     logit = prior + sum(np.choose(out[c].to_numpy() + 1, weights[k]) for k, c in enumerate(names))
     assert np.allclose(out["p_good"], 1 / (1 + np.exp(-logit)))
     assert (out["kept"] == (~out["base_failed"] & (out["p_good"] >= 0.5))).all() and len(EDGE) > 0
+
+
+def test_tiles_of_a_bucket(spark, monkeypatch):
+    """Members of a mixed bucket, in blocks and tiles of any size, give the pairs that plain bounds leave."""
+    from threadloom.llm import jaccard as J
+
+    r = np.random.default_rng(5)
+    sizes = r.integers(200, 420, 60)
+    base = r.integers(0, 2**63, 420, np.uint64)
+    sets = [np.concatenate([base[: n - n // 9], r.integers(0, 2**63, n // 9, np.uint64)]) for n in sizes]
+    bits = []
+    for s, n in zip(sets, sizes):
+        length = 1 << int(np.ceil(np.log2(n)))
+        flips = np.bincount((s & np.uint64(length - 1)).astype(int), minlength=length) & 1
+        bits.append(np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64).tolist())
+    root = [k % 7 for k in range(60)]
+    known = spark.createDataFrame([(k, int(n), b) for k, (n, b) in enumerate(zip(sizes, bits))], "node long, size long, bits array<long>")
+    members = spark.createDataFrame([(1, k, root[k]) for k in range(60)] + [(2, k, root[k]) for k in range(5)], "key long, node long, root long")
+    mixed = spark.createDataFrame([(1, 60), (2, 5)], "key long, all long")
+    raw = [int.from_bytes(np.array(b).tobytes(), "little") for b in bits]
+    expected = set()
+    for i in range(60):
+        for j in range(i):
+            w = min(len(bits[i]), len(bits[j])) * 64
+            fold = [x if len(bits[k]) * 64 == w else (x >> w) ^ (x & ((1 << w) - 1)) for k, x in ((i, raw[i]), (j, raw[j]))]
+            n, m = int(sizes[i]), int(sizes[j])
+            if root[i] != root[j] and 80 * max(n, m) <= 100 * min(n, m) and 180 * (fold[0] ^ fold[1]).bit_count() <= 20 * (n + m):
+                expected.add((i, j))
+    assert len(expected) > 20
+    for block, tile in ((4096, 512), (7, 3), (20, 64)):
+        monkeypatch.setattr(J, "BLOCK", block)
+        monkeypatch.setattr(J, "TILE", tile)
+        assert {tuple(x) for x in J.compared(members, mixed, known, 80).collect()} == expected

@@ -53,6 +53,8 @@ from ._store import discard, release, stored
 MIN_BITS, RATIO, SPARE = 256, 1.3, 0.2
 #: Keys in one chunk of a map task, texts in one block.
 CHUNK, TEXTS = 1 << 20, 2048
+#: Members of a block of a large bucket, and of a tile of its matrix.
+BLOCK, TILE = 4096, 128
 #: Ids of a broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: A table of so many rows is one partition.
@@ -253,6 +255,83 @@ def candidates(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return both.where(may_link(F.col("size_a"), F.col("size_b"), F.col("bits_a"), F.col("bits_b"), percent)).select("node", "pivot")
 
 
+def _fitting(a: dict, b: dict, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``a`` and ``b`` of pairs of different components that may link; each pair once if both are the same members."""
+    n, m = a["size"][:, None], b["size"][None, :]
+    fits = (a["root"][:, None] != b["root"][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    if same:
+        fits &= np.arange(len(a["size"]))[:, None] < np.arange(len(b["size"]))[None, :]
+    i, j = np.nonzero(fits)
+    words = np.minimum(a["words"][i], b["words"][j])
+    apart = np.zeros(len(i), np.int64)
+    for w in np.unique(words):
+        own = np.flatnonzero(words == w)
+        x, y = a["folded"](w)[i[own]], b["folded"](w)[j[own]]
+        apart[own] = np.bitwise_count((x ^ y).view(np.uint64)).sum(1)  # of signed numbers it counts the absolute value's bits
+    good = (100 + percent) * apart <= (100 - percent) * (a["size"][i] + b["size"][j])
+    return i[good], j[good]
+
+
+def _members(rows: list[tuple]) -> dict:
+    """Columns of (node, root, size, bits) rows; ``folded(w)`` gives sketches of w words, those that are shorter as zeros."""
+    size, words = np.array([r[2] for r in rows]), np.array([len(r[3]) for r in rows])
+    held: dict[int, np.ndarray] = {}
+
+    def folded(w: int) -> np.ndarray:
+        if w not in held:
+            held[w] = out = np.zeros((len(rows), w), np.int64)
+            for k, r in enumerate(rows):
+                if len(r[3]) >= w:
+                    out[k] = np.bitwise_xor.reduce(np.asarray(r[3]).reshape(-1, w), axis=0)
+        return held[w]
+
+    return {"node": np.array([r[0] for r in rows]), "root": np.array([r[1] for r in rows]), "size": size, "words": words, "folded": folded}
+
+
+def compared(members: DataFrame, mixed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(node, pivot): pairs in one bucket (key, node, root) but not in one component that may link.
+
+    A bucket of more than ``BLOCK`` members is dealt into blocks, and each two blocks meet in a
+    task of their own; sketches are compared as matrices, ``TILE`` members at a time.
+    """
+    sized = members.select("key", "node", "root").join(mixed.select("key", F.ceil(F.col("all") / BLOCK).cast("int").alias("k")), "key")
+    mine = F.pmod(F.xxhash64("node", "key"), F.col("k")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
+    dealt = sized.withColumn("mine", mine).withColumn("p", F.explode(others)).select("key", "node", "root", "mine", "p.i", "p.j")
+    ready = dealt.join(known.select("node", "size", "bits"), "node")
+    ordered = ready.repartition(partitions(members), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def pairs(group: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        _, i, j = group
+        sides = [[r[1:] for r in rows if r[0] == x] for x in ((i,) if i == j else (i, j))]
+        for p in range(0, len(sides[0]), TILE):
+            a = _members(sides[0][p : p + TILE])
+            for q in range(p if i == j else 0, len(sides[-1]), TILE):
+                same = i == j and p == q
+                b = a if same else _members(sides[-1][q : q + TILE])
+                x, y = _fitting(a, b, percent, same)
+                if len(x):
+                    u, v = a["node"][x], b["node"][y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["node", "pivot"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for b in batches:
+            keys = zip(b["key"].to_pylist(), b["i"].to_pylist(), b["j"].to_pylist())
+            bits = b["bits"]
+            values, at = bits.flatten().to_numpy(), (bits.offsets.to_numpy() - bits.offsets[0].as_py()).tolist()
+            for k, (g, mine_, node, root, size) in enumerate(zip(keys, b["mine"].to_pylist(), b["node"].to_pylist(), b["root"].to_pylist(), b["size"].to_pylist())):
+                if g != group:
+                    if len(rows) > 1:
+                        yield from pairs(group, rows)
+                    group, rows = g, []
+                rows.append((mine_, node, root, size, values[at[k] : at[k + 1]]))
+        if len(rows) > 1:
+            yield from pairs(group, rows)
+
+    return ordered.mapInArrow(run, "node long, pivot long").distinct()
+
+
 def _texts(docs: DataFrame, nodes: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, text) of the classes in ``nodes``; documents are read again, and only those of the classes' smallest ids go on."""
     need = stored(nodes.join(known.select("node", "rep"), "node").select("rep").distinct(), "needed")
@@ -365,10 +444,7 @@ def joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
         last = left["pairs"] <= 8 * left["rows"] or left["pairs"] > before / 2
         before = left["pairs"]
         if last:
-            a = labelled.select("key", "node", "root").join(known.select("node", "size", "bits"), "node")
-            b = a.select(*(F.col(c).alias(f"{c}_b") for c in ("key", "node", "root", "size", "bits")))
-            fits = may_link(F.col("size"), F.col("size_b"), F.col("bits"), F.col("bits_b"), percent)
-            pairs = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("node") > F.col("node_b")) & (F.col("root") != F.col("root_b")) & fits).select("node", F.col("node_b").alias("pivot")).distinct()
+            pairs = compared(labelled, mixed, known, percent)
         else:
             pivots = labelled.where(F.col("node") == F.col("pivot")).select("key", F.col("root").alias("pivot_root"))
             pairs = candidates(labelled.join(pivots, "key").where(F.col("root") != F.col("pivot_root")).select("node", "pivot"), known, percent)
