@@ -49,9 +49,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, little-endian 32-bit integers, with the digest of what they decode to."""
     ship(spark)
     path, split = tokenizer("byte_bpe_multi_50k.tiktoken"), pattern()
-    ids = bpe.encoded(docs, "doc_id", "lang", "source", path=path, pattern=split)
-    out = bpe.decoded(ids, "doc_id", "lang", "source", "n_tokens", "ids", path=path, pattern=split)
-    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, "doc_id", "lang", "source", path=path, pattern=split)
 
 
 STAGES = [

@@ -222,6 +222,15 @@ def decoded(rows: DataFrame, *keep: str, path: str, pattern: str, column: str =
     return chosen.mapInArrow(run, T.StructType(fields))
 
 
+def round_trip(docs: DataFrame, *keep: str, path: str, pattern: str, column: str = "text") -> DataFrame:
+    """The columns ``keep`` with ``n_tokens``, ``ids`` and the SHA-256 of what the ids decode to, in one pass: a task has one Python worker, and one set of kept pieces."""
+
+    def row(c: Codec, ids: bytes) -> tuple[int, bytes, str]:
+        return len(ids) // 4, ids, hashlib.sha256(c.decode(ids)).hexdigest()
+
+    return _mapped(docs, keep, column, path, pattern, {"n_tokens": T.LongType(), "ids": T.BinaryType(), "decoded_sha256": T.StringType()}, row)
+
+
 def digests(docs: DataFrame, *keep: str, path: str, pattern: str, column: str = "text") -> DataFrame:
     """The columns ``keep`` with ``n_tokens`` and the SHA-256 of ids and of what they decode to: encoding and decoding in one pass."""
 
