@@ -2,17 +2,16 @@
 
 A rule's verdict comes first. For the other URLs, the paths of each host make a tree:
 segments that hold digits become the wildcards `#` (digits alone) or `*`; of the other
-segments, rare ones become `*`, level by level, and so do sibling branches that are
-statistically alike (the same share of blocked URLs by a two-proportion test against all
-siblings, and a similar mix of what follows). A template is rejected when rules have
+segments, level by level, sibling branches that are statistically alike become `*`, rare
+ones by the same test as others (the same share of blocked URLs by a two-proportion test
+against all siblings, and a similar mix of what follows). A template is rejected when rules have
 labelled at least ``MIN_LABELLED`` of its URLs and the smoothed share of blocked ones
 among these reaches ``REJECT``; smoothing
 draws it to the share of its host, and that to the share of all.
 
-Scale: URLs are first counted by (host, shape) with map-side combining. Segments that few
-of a host's URLs have become `*` before the tree is built, so a host keeps at most
-1 / MIN_SHARE literal segments a level, whatever its share of all rows, and the windows
-over the tree's nodes stay small. Verdicts return to the URLs by joins on host and shape,
+Scale: URLs are first counted by (host, shape) with map-side combining. A place's sums are
+such counts too, of all its branches, then of the place: no window holds a host's or a
+place's rows, however many literal segments it has. Sums and verdicts return by joins,
 whose large partitions Spark can split. Only the id and the URL are read.
 
 Edge cases: a null URL, or one without `://`, has an empty host and path and, like
@@ -22,7 +21,7 @@ their first ones; repeated rows each come back; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._sql import ascii_lower
@@ -30,7 +29,9 @@ from ._store import stored
 
 #: Verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-DEPTH, MIN_SHARE, ALIKE, WEIGHT, REJECT, MIN_LABELLED = 6, 0.02, 0.2, 2.0, 0.8, 3
+#: No segment is too rare to be a branch of its own.
+MIN_SHARE = 0
+DEPTH, ALIKE, WEIGHT, REJECT, MIN_LABELLED = 6, 0.2, 2.0, 0.8, 3
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -58,46 +59,54 @@ def shape(path: Column) -> Column:
     return F.transform(segments, lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]{1,5})?$"), F.concat(F.lit("#"), ending(s))).when(s.rlike("[0-9]") | (F.char_length(s) > 24), F.concat(F.lit("*"), ending(s))).otherwise(s))
 
 
-def frequent(shapes: DataFrame) -> DataFrame:
-    """(host, often): the segments, with their level, that at least ``MIN_SHARE`` of a host's URLs have; at most DEPTH / MIN_SHARE of them."""
-    host = shapes.groupBy("host").agg(F.sum("n").alias("all"))
-    each = shapes.select("host", "n", F.posexplode("shape").alias("level", "seg")).where(~F.col("seg").rlike("^[#*]"))
-    each = each.groupBy("host", "level", "seg").agg(F.sum("n").alias("mine"))
-    often = each.join(host, "host").where(F.col("mine") >= MIN_SHARE * F.col("all"))
-    return often.groupBy("host").agg(F.collect_set(F.concat_ws("/", "level", "seg")).alias("often"))
-
-
-def general(rows: DataFrame, often: DataFrame) -> DataFrame:
-    """``rows`` with rare segments of ``shape`` as `*`."""
-    both = rows.join(often, "host", "left")
-    kept = F.coalesce("often", F.array().cast("array<string>"))
-    return both.withColumn("shape", F.transform("shape", lambda s, i: F.when(s.rlike("^[#*]") | F.array_contains(kept, F.concat_ws("/", i, s)), s).otherwise("*"))).drop("often")
-
-
-def templates(counted: DataFrame, depth: int) -> DataFrame:
-    """(host, shape, template, purity) from counts (n, labelled, blocked) by host and shape; a window over each node of the tree, level by level."""
-    tree = counted.withColumn("template", F.array().cast("array<string>"))
-    for level in range(depth):
-        tree = tree.withColumn("seg", F.get("shape", F.lit(level))).withColumn("follow", F.coalesce(F.get("shape", F.lit(level + 1)), F.lit("/"))).withColumn("under", F.array_join("template", "/"))
-        place, branch = Window.partitionBy("host", "under"), Window.partitionBy("host", "under", "seg")
-        mix, every = Window.partitionBy("host", "under", "seg", "follow"), Window.partitionBy("host", "under", "follow")
-        of = lambda c, w: F.sum(c).over(w)
-        tree = tree.withColumns({"mine": of("n", branch), "all": of("n", place), "own_l": of("labelled", branch), "own_b": of("blocked", branch), "all_l": of("labelled", place), "all_b": of("blocked", place), "both": of("n", mix), "every": of("n", every)})
-        # a branch's mix of followers against all siblings', and how many siblings there are
-        tree = tree.withColumn("apart", of(F.col("n") / F.col("both") * F.abs(F.col("both") / F.col("mine") - F.col("every") / F.col("all")), branch) / 2).withColumn("siblings", of(F.col("n") / F.col("mine"), place))
-        own, every_l = F.nullif("own_l", F.lit(0)), F.nullif("all_l", F.lit(0))
-        p, q = F.col("own_b") / own, F.col("all_b") / every_l
+def templates(counted: DataFrame) -> DataFrame:
+    """(host, shape, template, purity, seen) from counts (n, labelled, blocked) by host and shape.
+
+    All places of the tree, given by host and template so far (``under``), grow at once: first
+    by what all their paths have in common, then by one segment where they branch. Places
+    without branches are done, so the turns are as many as a path has branching places.
+    """
+    known = counted.select("host", "shape", F.col("shape").alias("rest"), F.lit("").alias("under"), "n", "labelled", "blocked")
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+    named = lambda prefix: [F.col(c).alias(f"{prefix}_{c}") for c in ("n", "labelled", "blocked")]
+    below = lambda under, segs: F.concat(under, F.array_join(F.transform(segs, lambda s: F.concat(F.lit("/"), s)), ""))
+    done = []
+    while not known.isEmpty():
+        # the paths of a place have in common what its least and its greatest have
+        place = known.groupBy("host", "under").agg(F.min("rest").alias("least"), F.max("rest").alias("most"))
+        place = place.select("host", "under", (F.array_position(F.zip_with("least", "most", lambda a, b: a.eqNullSafe(b)), False) - 1).cast("int").alias("common"))
+        at = stored(known.join(place, ["host", "under"]), "places")
+        done.append(at.where("common < 0").select("host", "shape", below(F.col("under"), F.col("rest")).alias("template"), "labelled", "blocked"))
+        at = at.where("common >= 0").withColumn("under", below(F.col("under"), F.slice("rest", F.lit(1), F.col("common")))).withColumn("seg", F.get("rest", F.col("common")))
+        done.append(at.where("seg IS NULL").select("host", "shape", F.col("under").alias("template"), "labelled", "blocked"))
+        at = at.withColumn("follow", F.coalesce(F.get("rest", F.col("common") + 1), F.lit("/")))
+        # sums by branch and follower, and of these by branch, by follower and of all; an empty segment is where paths end
+        mix = stored(at.groupBy("host", "under", F.coalesce("seg", F.lit("")).alias("seg"), "follow").agg(*sums), "mixes")
+        branch = mix.groupBy("host", "under", "seg").agg(*sums)
+        every = mix.groupBy("host", "under", "follow").agg(F.sum("n").alias("every"))
+        whole = mix.groupBy("host", "under").agg(*sums).select("host", "under", *named("all"))
+        # a branch's mix of followers against all siblings'
+        both = mix.select("host", "under", "seg", "follow", F.col("n").alias("both")).where(~F.col("seg").rlike("^[#*]") & (F.col("seg") != ""))
+        both = both.join(branch.select("host", "under", "seg", *named("own")), ["host", "under", "seg"]).join(every, ["host", "under", "follow"]).join(whole, ["host", "under"])
+        apart = F.sum(F.abs(F.col("both") / F.col("own_n") - F.col("every") / F.col("all_n"))) / 2
+        tested = both.groupBy("host", "under", "seg", "own_labelled", "own_blocked", "all_labelled", "all_blocked").agg(apart.alias("apart"))
+        own, every_l = F.nullif("own_labelled", F.lit(0)), F.nullif("all_labelled", F.lit(0))
+        p, q = F.col("own_blocked") / own, F.col("all_blocked") / every_l
         near = F.abs(p - q) <= 1.96 * F.sqrt(q * (1 - q) * (1 / own + 1 / every_l)) + 1e-9
-        alike = (F.col("siblings") > 1.5) & F.coalesce(near, F.lit(False)) & (F.col("apart") <= ALIKE)
-        name = F.when(F.col("seg").rlike("^[#*]"), F.col("seg")).when(alike, F.lit("*")).otherwise(F.col("seg"))
-        tree = tree.select("host", "shape", "n", "labelled", "blocked", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.array(name))).alias("template"))
-    tree = tree.withColumn("template", F.concat(F.lit("/"), F.array_join("template", "/")))
+        alike = tested.where(F.coalesce(near, F.lit(False)) & (F.col("apart") <= ALIKE)).select("host", "under", "seg", F.lit("*").alias("name"))
+        rest = F.slice("rest", F.col("common") + 2, F.size("rest"))
+        known = at.where("seg IS NOT NULL").join(alike, ["host", "under", "seg"], "left")
+        known = stored(known.select("host", "shape", rest.alias("rest"), F.concat("under", F.lit("/"), F.coalesce("name", "seg")).alias("under"), "n", "labelled", "blocked"), "branches")
+    tree = counted.select("host", "shape", F.lit("/").alias("template"), "labelled", "blocked").limit(0)
+    for part in done:
+        tree = tree.unionByName(part)
+    tree = tree.withColumn("template", F.when(F.col("template") == "", "/").otherwise(F.col("template")))
     every = counted.agg(F.sum("labelled").alias("all_l"), F.sum("blocked").alias("all_b")).first()
     share = (every["all_b"] or 0) / max(1, every["all_l"] or 0)
-    own, host = Window.partitionBy("host", "template"), Window.partitionBy("host")
-    prior = (F.sum("blocked").over(host) + WEIGHT * share) / (F.sum("labelled").over(host) + WEIGHT)
-    purity = (F.sum("blocked").over(own) + WEIGHT * F.col("prior")) / (F.sum("labelled").over(own) + WEIGHT)
-    return tree.withColumn("prior", prior).withColumn("purity", purity).withColumn("seen", F.sum("labelled").over(own)).select("host", "shape", "template", "purity", "seen")
+    host = counted.groupBy("host").agg(((F.sum("blocked") + WEIGHT * share) / (F.sum("labelled") + WEIGHT)).alias("prior"))
+    pure = tree.groupBy("host", "template").agg(F.sum("blocked").alias("own_b"), F.sum("labelled").alias("seen")).join(host, "host")
+    pure = pure.select("host", "template", ((F.col("own_b") + WEIGHT * F.col("prior")) / (F.col("seen") + WEIGHT)).alias("purity"), "seen")
+    return tree.select("host", "shape", "template").join(pure, ["host", "template"]).select("host", "shape", "template", "purity", "seen")
 
 
 def judged(pages: DataFrame, *keep: str, column: str = "url", rules=RULES) -> DataFrame:
@@ -107,10 +116,7 @@ def judged(pages: DataFrame, *keep: str, column: str = "url", rules=RULES) -> Da
     rule, verdict = ruled(rules)
     rows = rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("shape", shape(F.col("path")))
     count = [F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked")]
-    shapes = stored(rows.groupBy("host", "shape").agg(*count), "shapes")
-    often = stored(frequent(shapes), "often")
-    counted = stored(general(shapes, often).groupBy("host", "shape").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked"))), "templates")
-    depth = counted.agg(F.max(F.size("shape"))).first()[0] or 0
-    known = templates(counted, depth)
+    counted = stored(rows.groupBy("host", "shape").agg(*count), "shapes")
+    known = templates(counted)
     learned = F.when((F.col("purity") >= REJECT) & (F.col("seen") >= MIN_LABELLED), "block").otherwise("allow")
-    return general(rows, often).join(known, ["host", "shape"], "left").select(*keep, "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
+    return rows.join(known, ["host", "shape"], "left").select(*keep, "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
