@@ -13,3 +13,8 @@ def _urls(spark, *groups):
 def test_rare_branches_are_tested_like_others(spark):
     got = _urls(spark, ("/en/{}", 60), ("/es/{}", 20), ("/fr/{}", 18), ("/about/{}", 1), ("/contact/{}", 1))
     assert got == {("en", "/en/#", "allow"), ("es", "/*/#", "block"), ("fr", "/*/#", "block"), ("about", "/about/#", "allow"), ("contact", "/contact/#", "allow")}
+
+
+def test_paths_count_to_their_ends(spark):
+    got = _urls(spark, ("/es/a/b/c/d/e/x", 30), ("/fr/a/b/c/d/e/x", 30), ("/u{}/a/b/c/d/e/y", 200))
+    assert {(t, v) for _, t, v in got} == {("/*/a/b/c/d/e/*", "block"), ("/*/a/b/c/d/e/y", "allow")}

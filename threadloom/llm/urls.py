@@ -15,8 +15,8 @@ place's rows, however many literal segments it has. Sums and verdicts return by
 whose large partitions Spark can split. Only the id and the URL are read.
 
 Edge cases: a null URL, or one without `://`, has an empty host and path and, like
-unlabelled templates, is allowed; paths deeper than ``DEPTH`` segments share a template by
-their first ones; repeated rows each come back; an empty table gives no rows.
+unlabelled templates, is allowed; paths count to their ends, however deep; repeated rows
+each come back; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ from ._store import stored
 
 #: Verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: No segment is too rare to be a branch of its own.
-MIN_SHARE = 0
-DEPTH, ALIKE, WEIGHT, REJECT, MIN_LABELLED = 6, 0.2, 2.0, 0.8, 3
+#: No segment is too rare to be a branch of its own, and none too deep (``None``: all of a path).
+MIN_SHARE, DEPTH = 0, None
+ALIKE, WEIGHT, REJECT, MIN_LABELLED = 0.2, 2.0, 0.8, 3
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -54,7 +54,7 @@ def ruled(rules=RULES) -> tuple[Column, Column]:
 
 def shape(path: Column) -> Column:
     """A path's segments, with what surely varies as wildcards."""
-    segments = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, DEPTH)
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
     ending = lambda s: F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1)
     return F.transform(segments, lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]{1,5})?$"), F.concat(F.lit("#"), ending(s))).when(s.rlike("[0-9]") | (F.char_length(s) > 24), F.concat(F.lit("*"), ending(s))).otherwise(s))
 
