@@ -1,6 +1,9 @@
 """Whole results where a cut once stood."""
 
+from pyspark.sql import functions as F
+
 from threadloom.llm import urls
+from threadloom.operators import forest
 
 
 def _urls(spark, *groups):
@@ -18,3 +21,13 @@ def test_rare_branches_are_tested_like_others(spark):
 def test_paths_count_to_their_ends(spark):
     got = _urls(spark, ("/es/a/b/c/d/e/x", 30), ("/fr/a/b/c/d/e/x", 30), ("/u{}/a/b/c/d/e/y", 200))
     assert {(t, v) for _, t, v in got} == {("/*/a/b/c/d/e/*", "block"), ("/*/a/b/c/d/e/y", "allow")}
+
+
+def test_doublings_have_no_bound(spark):
+    ring = spark.range(2**20 + 1).select(F.lit("c").alias("conv"))
+    assert forest._steps_needed(ring, ["conv"]) == 21
+    nodes = spark.range(300).select(F.lit("c").alias("conv"), F.col("id").cast("string").alias("node"), ((F.col("id") + 1) % 300).cast("string").alias("parent"))
+    linked = forest.links(forest.with_kinds(nodes))
+    # more doublings than one plan could hold
+    got = forest.cycles(linked, steps=21).agg(F.count("*"), F.countDistinct("cycle")).first()
+    assert tuple(got) == (300, 1)

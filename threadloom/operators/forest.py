@@ -4,7 +4,8 @@ Nodes have keys (any columns, ``CONV`` by default), ``node``, ``parent`` and, wh
 tells, ``parent_kind`` (string, null, absent or invalid), ``child_list`` (the explicit children,
 null without) and ``child_kind`` (list, absent or invalid), ``id_ok``. Links are joins on
 (keys, node), so a conversation of any size is spread by its nodes; cycles and active paths
-use pointer doubling: the number of joins grows with the logarithm of the longest chain.
+use pointer doubling: the number of joins grows with the logarithm of the longest chain, as
+many as the largest conversation's nodes need, without a bound.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import words
 
 CONV = ("conv",)
-STEPS = 20  # chains of up to 2^20 nodes
+PLANNED = 3  # doublings in one plan, which each makes twice as large
 
 
 def with_kinds(nodes: DataFrame) -> DataFrame:
@@ -53,15 +54,23 @@ def _doubled(step: DataFrame, keys) -> DataFrame:
 
 def _steps_needed(linked: DataFrame, keys) -> int:
     most = linked.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
-    return max(1, min(STEPS, (most - 1).bit_length()))
+    return max(1, (most - 1).bit_length())
+
+
+def _planned(step: DataFrame, k: int) -> DataFrame:
+    """``step`` after doubling ``k``; at times checkpointed, so that plans stay small however long the chains are."""
+    if (k + 1) % PLANNED:
+        return step
+    sc = step.sparkSession.sparkContext
+    return step.checkpoint() if sc.getCheckpointDir() else step.localCheckpoint()
 
 
 def cycles(linked: DataFrame, keys=CONV, steps: int | None = None) -> DataFrame:
     """(keys, node, cycle): nodes on a cycle, and the cycle's least node."""
     steps = steps or _steps_needed(linked, keys)
     step = linked.select(*keys, "node", "up", F.least("node", F.coalesce("up", "node")).alias("least"))
-    for _ in range(steps):
-        step = _doubled(step, keys)
+    for k in range(steps):
+        step = _planned(_doubled(step, keys), k)
     ends = step.where(F.col("up").isNotNull()).select(*keys, F.col("up").alias("node")).distinct()
     # where 2^steps links lead is on a cycle, and every node of a cycle is led to
     return step.join(ends, [*keys, "node"], "left_semi").select(*keys, "node", F.col("least").alias("cycle"))
@@ -75,9 +84,9 @@ def active_path(linked: DataFrame, current: DataFrame, keys=CONV, steps: int | N
     path = current.join(known, [*keys, "node"], "left_semi").select(*keys, "node").distinct()
     for k in range(steps):
         jump = path.join(step.select(*keys, "node", "up"), [*keys, "node"]).where(F.col("up").isNotNull()).select(*keys, F.col("up").alias("node"))
-        path = path.unionByName(jump).distinct()
+        path = _planned(path.unionByName(jump).distinct(), k)
         if k + 1 < steps:
-            step = _doubled(step, keys)
+            step = _planned(_doubled(step, keys), k)
     ended = path.join(known, [*keys, "node"]).where(_is_root()).select(*keys).distinct()
     return path.join(ended, [*keys], "left_semi")
 
