@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from threadloom.llm import urls
+from threadloom.llm import jaccard, urls
 from threadloom.operators import forest
 
 
@@ -23,6 +23,13 @@ def test_paths_count_to_their_ends(spark):
     assert {(t, v) for _, t, v in got} == {("/*/a/b/c/d/e/*", "block"), ("/*/a/b/c/d/e/y", "allow")}
 
 
+def test_only_the_copy_of_an_id_goes(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (None, a), (None, b), (None, None), (2, a), (2, c)]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, a), (None, b), (None, None), (2, c)], key=repr)
+
+
 def test_doublings_have_no_bound(spark):
     ring = spark.range(2**20 + 1).select(F.lit("c").alias("conv"))
     assert forest._steps_needed(ring, ["conv"]) == 21

@@ -156,8 +156,8 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
             yield first + k, texts[k : k + TEXTS]
 
 
-def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, size, node, bits, keys) of each row; node is null for an empty set."""
+def sketches(docs: DataFrame, n: int, percent: int, *keep: str) -> DataFrame:
+    """(doc_id, size, node, bits, keys) of each row, and the columns ``keep``; node is null for an empty set."""
 
     def lists(counts: np.ndarray, values: np.ndarray) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values))
@@ -168,11 +168,11 @@ def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for first, texts in _pieces(b["text"]):
                 x = sketched(texts, n, percent)
                 node = pa.array(x["node"], mask=x["sizes"] == 0)
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(first, len(texts)), pa.array(x["sizes"].astype(np.int64)), node, lists(x["words"], x["bits"]), lists(x["counts"], x["keys"])], names=["doc_id", "size", "node", "bits", "keys"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(first, len(texts)), pa.array(x["sizes"].astype(np.int64)), node, lists(x["words"], x["bits"]), lists(x["counts"], x["keys"]), *(b[c].slice(first, len(texts)) for c in keep)], names=["doc_id", "size", "node", "bits", "keys", *keep])
 
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("size", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("size", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType())), *(docs.schema[c] for c in keep)])
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, schema)
 
 
 def _collapse(heads: bool):
@@ -416,11 +416,11 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return _compact(both.select(F.coalesce("node", "label").alias("node"), F.coalesce("to", "root").alias("root")).distinct(), "roots")[0]
 
 
-def joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id) of each row of ``docs`` (doc_id, text)."""
+def joined(docs: DataFrame, n: int, percent: int, *keep: str) -> DataFrame:
+    """(doc_id, n_shingles, node, component_id) of each row of ``docs`` (doc_id, text), and its columns ``keep``."""
     spark = docs.sparkSession
-    sketched_ = stored(sketches(docs, n, percent), "sketches")
-    t = stored(sketched_.select("doc_id", "size", "node"), "sizes")
+    sketched_ = stored(sketches(docs, n, percent, *keep), "sketches")
+    t = stored(sketched_.select("doc_id", "size", "node", *keep), "sizes")
     known = stored(classes(sketched_), "classes")
     members = stored(buckets(sketched_), "buckets")
     discard(sketched_)
@@ -457,12 +457,16 @@ def joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     whole = known.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = whole.join(least, "root").select("node", "component_id")
-    out = t.select("doc_id", F.col("size").alias("n_shingles"), "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = t.select("doc_id", F.col("size").alias("n_shingles"), "node", *keep).join(named, "node", "left")
+    return out.select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"), *keep)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without documents of a component but its smallest doc_id."""
-    found = joined(docs, n, percent)
-    gone = found.where((F.col("doc_id") != F.col("component_id")) | F.col("doc_id").isNull() & F.col("component_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """``docs`` without documents of a component but its smallest doc_id.
+
+    A row goes by its id and a hash of its text, so other texts of the same id, or without one, stay.
+    """
+    found = joined(docs.select("doc_id", "text", F.xxhash64("text").alias("__hash")), n, percent, "__hash")
+    gone = found.where((F.col("doc_id") != F.col("component_id")) | F.col("doc_id").isNull() & F.col("component_id").isNotNull()).select("doc_id", "__hash").distinct()
+    same = docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["__hash"])
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
