@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from threadloom.llm import jaccard, urls
+from threadloom.llm import html_text, jaccard, urls
 from threadloom.operators import forest
 
 
@@ -23,6 +23,19 @@ def test_paths_count_to_their_ends(spark):
     assert {(t, v) for _, t, v in got} == {("/*/a/b/c/d/e/*", "block"), ("/*/a/b/c/d/e/y", "allow")}
 
 
+def test_article_of_utility_classes_stays():
+    def text(page):
+        return html_text.texts([f"<html><body>{page}</body></html>"], html_text.model())[0]
+
+    story = "".join(f"<p>{k} words of a story that goes on for a while and then some more of it.</p>" for k in range(8))
+    assert text(f'<article class="overflow-hidden">{story}</article>').count("story") == 8
+    assert text(f'<main class="sm:hidden article" data-hidden="1" style="backface-visibility:hidden">{story}</main>').count("story") == 8
+    found = text(f'<article>{story}<p title="the hidden valley">A valley is there, and <a href="/hidden-gems">gems of it</a> too.</p><p>As <math><mi>e</mi><mo>=</mo><msup><mi>m</mi><mn>2</mn></msup><annotation>tex</annotation></math> has it, this is so.</p></article>')
+    assert "A valley is there, and gems of it too." in found and "As e=m2 has it" in found
+    for veto in ("hidden", 'hidden=""', 'aria-hidden="true"', 'style="color:red; display: none"'):
+        assert "secret" not in text(f"<article>{story}<p {veto}>A secret paragraph of the story, not to be shown to anyone.</p></article>")
+
+
 def test_only_the_copy_of_an_id_goes(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
     rows = [(1, a), (None, a), (None, b), (None, None), (2, a), (2, c)]

@@ -8,8 +8,9 @@ import re
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = frozenset("script style head title noscript template svg math iframe object canvas noembed noframes button select option textarea input meta link".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
+HIDDEN = frozenset("script style head title noscript template svg annotation annotation-xml iframe object canvas noembed noframes button select option textarea input meta link".split())
+MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 #: An open element of these ends when one of the named begins.
 ENDS = {
     "p": frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split()),
@@ -25,7 +26,11 @@ ENDS = {
 #: An end tag does not reach past these.
 WALLS = frozenset("table td th article section main nav aside header footer body html".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|style|aria-hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
+#: Attributes whose words are tokens of an element, and the token of one that isn't shown, which no word is.
+WORDED = frozenset("class id role itemprop aria-label".split())
+UNSEEN = "@hidden"
+NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 WORDS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[a-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -45,12 +50,9 @@ def _tokens(attributes: str) -> frozenset:
     out = set()
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                out.add("hidden")
-        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            out.add("hidden")
-        elif name != "aria-hidden":
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NOT_SHOWN.search(value):
+            out.add(UNSEEN)
+        elif name in WORDED:
             out.update(w.lower() for w in WORDS.findall(value))
     return frozenset(out)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import trees
-from .dom import HIDDEN, INLINE, Node, parse, text_of
+from .dom import HIDDEN, INLINE, MATH, UNSEEN, Node, parse, text_of
 
 #: Bound of the pages that the trees are fitted on.
 PAGES, SEED = 400, 7
@@ -109,7 +109,7 @@ def decode(nodes: list[Node], logit: np.ndarray) -> np.ndarray:
     """
     own = np.array([sum(len(c.strip()) for c in x.children if isinstance(c, str)) for x in nodes], float)
     worth = np.clip(logit, -8, 8) * (0.25 + np.sqrt(own))
-    hidden = np.array([x.tag in HIDDEN or "hidden" in x.tokens for x in nodes])
+    hidden = np.array([x.tag in HIDDEN or UNSEEN in x.tokens for x in nodes])
     worth[hidden] = -1e9
     inline = np.array([x.tag in INLINE for x in nodes])
     total = worth.copy()
@@ -123,7 +123,7 @@ def decode(nodes: list[Node], logit: np.ndarray) -> np.ndarray:
     keep[0] = True
     for i in range(1, len(nodes)):
         up = nodes[i].parent
-        keep[i] = keep[up.index] and not hidden[i] and (total[i] > 0 or inline[i] and logit[up.index] > 0)
+        keep[i] = keep[up.index] and not hidden[i] and (total[i] > 0 or inline[i] and logit[up.index] > 0 or up.tag in MATH)  # a formula stays whole
     return keep
 
 
