@@ -28,6 +28,10 @@ EDGE = [
     (16, "a b c short ITEM d <|endoftext|> e\x00f 's don't  it's\n\n  x"),
     (17, "a b c short ITEM d <|endoftext|> e\x00f 's don't  it's\n\n  x"),
     (18, "Apache License apache license APACHE  LICENSE 2.0"),
+    (19, "a.b\x00 a q r b\x00 q r b\x00\x00"),
+    (20, "a x y a"),
+    (21, "b\x00 x y b\x00"),
+    (22, "gnu\x00 general mit\x00license apache\x00 license cc\x00by " * 20),
 ]
 ITEMS = [(1, PASSAGE), (2, "short item"), (3, None), (4, " , "), (5, PASSAGE), (6, "six seven eight nine ten eleven twelve thirteen fourteen fifteen after it extra words here")]
 PAGES = [(1, "http://a.com/x", "<p>x</p>"), (2, None, None), (3, "http://b.net/es/1", "<p>x</p>"), (4, "ftp//broken", ""), (5, "https://A.Net/es/?q", "é" * 1000), (6, "http://www.example.com/en/a", "é" * 1000)]

@@ -91,6 +91,37 @@ def test_rules_hold_their_keyword():
         assert r.keyword in text.replace("\\d", "1").split() or r.keyword in r.pattern.pattern, r
 
 
+def test_words_that_end_in_zero_bytes():
+    from threadloom.llm import _text as X
+
+    w = X.words([b"a b\x00 b\x00\x00 \x00 " + b"x" * 64 + b" " + b"x" * 65 + b" a"], X.NOT_WHITE, lower=False)
+    h = X.hashes(w)
+    assert len(set(h.tolist())) == 6 and h[0] == h[-1]
+    first, back = X.distinct(w)
+    assert [w.word(first[k]) for k in back] == [w.word(k) for k in range(len(back))] and len(first) == 6
+
+
+def test_encoder_and_library_agree():
+    import json
+    import random
+
+    from tokenizers import Tokenizer
+
+    from threadloom.llm.token_files import WordEncoder, cuts_hold
+
+    path, r = Q.tokenizer("word_bpe_49k.json"), random.Random(5)
+    spec = json.load(open(path, encoding="utf-8"))
+    assert cuts_hold(spec) and not cuts_hold(spec | {"normalizer": None}) and not cuts_hold(json.load(open(Q.tokenizer("byte_bpe_50k.json"), encoding="utf-8")))
+    signs = [*"abcAB zé\x00\x01.,'!<|>#$%&-/_~019 \n\t\x0b\x1c\x85\xa0İß漢😀\u0301\u200b", "<|endoftext|>", "'s", "don't", "b\x00"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 14))) for _ in range(20_000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e, t = WordEncoder(Q.tokenizer(name)), Tokenizer.from_file(Q.tokenizer(name))
+        ids, counts = e.encode([x.encode() for x in texts])
+        ends = np.cumsum(counts)
+        for x, n, end in zip(t.encode_batch_fast(texts, add_special_tokens=False), counts, ends):
+            assert ids[end - n : end].tolist() == x.ids
+
+
 def test_em_finds_accuracies():
     r = np.random.default_rng(1)
     good = r.random(20_000) < 0.85

@@ -86,9 +86,9 @@ def words(texts: list[bytes], kind: np.ndarray, lower: bool, cut: np.ndarray | N
 
 
 def hashes(w: Words, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word, from its bytes only."""
+    """A 64-bit hash of each word, from its bytes only; the length is mixed in first, so zero bytes at an end count."""
     chunk = np.ndarray((max(0, len(w.buf) - 7),), "<u8", w.buf.tobytes(), strides=(1,))
-    h = np.full(len(w.start), (seed * 2 + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64) ^ w.length.astype(np.uint64)
+    h = mix((w.length.astype(np.uint64) ^ np.uint64((seed * 2 + 1) * 0x9E3779B97F4A7C15 % 2**64)) * _ODD)
     live = np.arange(len(w.start))
     long = np.flatnonzero(w.length > 64)
     for k in range(0, 64, 8):
@@ -104,6 +104,30 @@ def hashes(w: Words, seed: int = 0) -> np.ndarray:
     return h
 
 
+def distinct(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The places of distinct words, and which of them each word is. Hashes group the words, their bytes decide."""
+    _, first, back = np.unique(hashes(w), return_index=True, return_inverse=True)
+    twin = first[back]
+    same = w.length == w.length[twin]
+    chunk = np.ndarray((max(0, len(w.buf) - 7),), "<u8", w.buf, strides=(1,))
+    live, k = np.flatnonzero(same & (twin != np.arange(len(twin)))), 0
+    while len(live):
+        low = _LOW[np.minimum(w.length[live] - k, 8)]
+        equal = ((chunk[w.start[live] + k] ^ chunk[w.start[twin[live]] + k]) & low) == 0
+        same[live[~equal]] = False
+        k += 8
+        live = live[equal & (w.length[live] > k)]
+    odd: dict[bytes, int] = {}  # of words that share another's hash
+    more: list[int] = []
+    for i in np.flatnonzero(~same).tolist():
+        word = w.word(i)
+        if word not in odd:
+            odd[word] = len(first) + len(more)
+            more.append(i)
+        back[i] = odd[word]
+    return np.concatenate([first, np.array(more, np.int64)]), back
+
+
 def windows(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n words from each place on; the last n - 1 places of the block have none."""
     out = np.zeros(max(0, len(h) - n + 1), np.uint64)

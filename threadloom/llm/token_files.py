@@ -51,12 +51,26 @@ CUT[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 1
 CUT[list(b'!"#$%&()*+,-./:;=?@[\\]^_`{}~')] = 2
 
 
+#: The normaliser and splitter that cutting texts into pieces relies on.
+NORMALISER = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_hold(spec: dict) -> bool:
+    """Whether a tokenizer's file lower-cases, drops white space and parts letters from marks as ``CUT`` has it, so that no piece sees another."""
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    plain = all(t["content"].startswith("<|") and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in spec.get("added_tokens") or [])
+    return plain and [(s["type"], s.get("pattern"), s.get("content")) for s in steps] == NORMALISER and splits[0].get("pattern") == {"Regex": SPLITTER} and [s.get("use_regex") for s in splits[1:]] in ([], [False])
+
+
 class WordEncoder:
     """Ids of texts by a tokenizers file that lower-cases, drops white space, and parts letters from marks.
 
     No token of such a tokenizer spans ASCII white space, or an ASCII letter and a mark of
     ``CUT`` beside it, so each distinct piece between those is encoded once, by the library.
-    A-Z are lower-cased first, but where a block may hold a special token.
+    A-Z are lower-cased first, but where a block may hold a special token. Texts go to the
+    library whole where the file is of another kind (``cuts_hold``).
     """
 
     LIMIT = 1_000_000
@@ -66,6 +80,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.in_pieces = cuts_hold(json.load(f))
         self.forget()
 
     def forget(self) -> None:
@@ -87,10 +103,13 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts, and how many each text has."""
+        if not self.in_pieces:
+            whole = [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            return np.array([i for ids in whole for i in ids], np.uint32), np.array([len(ids) for ids in whole], np.int64)
         w = X.words(texts, X.NOT_WHITE, lower=not any(b"<|" in t for t in texts), cut=CUT)
         if not len(w.start):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        _, first, back = np.unique(X.hashes(w), return_index=True, return_inverse=True)
+        first, back = X.distinct(w)
         body = w.buf.tobytes()
         distinct = [body[a : a + n] for a, n in zip(w.start[first].tolist(), w.length[first].tolist())]
         if len(self.known) > self.LIMIT:
