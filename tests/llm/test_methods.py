@@ -85,10 +85,67 @@ def test_gates_lose_no_rule(spark, edge):  # noqa: F811
                 assert got[i] == (",".join(sorted({d.label for d in found})), round(1 - math.prod(1 - d.weight for d in found), 6))
 
 
+def _said(pattern):
+    """Some texts that a pattern matches: every group left out or with each of its choices, all others with the first."""
+    import re._parser as parser
+
+    def texts(items):
+        out = [""]
+        for op, v in items:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(v)]
+            elif name == "IN":
+                more = [chr(x[1]) if str(x[0]) == "LITERAL" else chr(x[1][0]) if str(x[0]) == "RANGE" else "9" for x in v if str(x[0]) != "NEGATE"] if str(v[0][0]) != "NEGATE" else ["w"]
+            elif name == "NOT_LITERAL":
+                more = ["w"]
+            elif name == "SUBPATTERN":
+                more = texts(v[3])
+            elif name == "BRANCH":
+                more = [t for x in v[1] for t in texts(x)]
+            elif name == "MAX_REPEAT":
+                more = ([""] if v[0] == 0 else []) + [t * max(1, v[0]) for t in texts(v[2])]
+            elif name.startswith("ASSERT"):
+                more = [""]
+            else:
+                raise AssertionError(name)
+            first = out[0]
+            out = [x + more[0] for x in out] + [first + m for m in more[1:]]
+        return out
+
+    return texts(parser.parse(pattern))
+
+
 def test_rules_hold_their_keyword():
+    assert len(licenses.rules()) > 250
     for r in licenses.rules():
-        text = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", r.pattern.pattern[7:-6])
-        assert r.keyword in text.replace("\\d", "1").split() or r.keyword in r.pattern.pattern, r
+        for text in _said(r.pattern.pattern):
+            assert r.pattern.search(f" {text} "), (r, text)
+            assert set(r.keywords) & set(text.split()), (r, text)
+            assert any(d.start == 0 for d in licenses.detect(text.encode(), list(licenses.rules()))), (r, text)
+
+
+def test_joined_forms():
+    found = lambda t: ",".join(d.label for d in licenses.detect(t.encode(), list(licenses.rules())))
+    assert found("GPLv3, LGPLv2.1 and AGPLv3+") == "gpl-3,lgpl-2.1,agpl-3"
+    assert found("under the Apache License, Version 2.0.") == "apache-2.0,apache"
+    assert [d.weight for d in licenses.detect(b"the apache license version 2", list(licenses.rules())) if d.base] == [0.0]
+    assert [(d.label, d.weight) for d in licenses.detect(b"an apache license", list(licenses.rules()))] == [("apache", 0.9)]
+
+
+def test_suppression_of_random_intervals():
+    import random
+
+    r, D = random.Random(2), licenses.Detection
+    for _ in range(500):
+        found = [D(a, a + r.randint(1, 6), f"l{k}", 0.5, 9 if base else r.randint(2, 8), base) for k in range(r.randint(0, 12)) for a in [r.randint(0, 12)] for base in [r.random() < 0.2]]
+        kept = [d for d in found if d.base]
+        for d in sorted((d for d in found if not d.base), key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
+            if not any(k.start <= d.start and k.end >= d.end for k in kept):
+                kept.append(d)
+        weight = lambda d: 0.0 if d.base and any(not k.base and k.start <= d.start and k.end >= d.end for k in kept) else d.weight  # noqa: E731, B023
+        assert licenses.suppressed(found) == sorted(d._replace(weight=weight(d)) for d in kept)
+    assert [d.label for d in licenses.suppressed([D(5, 7, "a", 0.5, 8, False), D(3, 9, "b", 0.5, 5, False), D(3, 6, "c", 0.5, 4, False)])] == ["b", "a"]
 
 
 def test_words_that_end_in_zero_bytes():

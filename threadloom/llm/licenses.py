@@ -1,10 +1,11 @@
 """License detection by ordered signature rules.
 
 A rule is a regular expression over a text's normalised words, with a label, a
-priority, a weight and a keyword that any match holds. A text's words are hashed as a
-block; rules whose keyword is absent never run, and a text without any keyword is only
-counted. Of overlapping detections, one that lies inside a kept one of the same or a
-higher priority is suppressed; base phrases are always kept.
+priority, a weight and keywords, one of which any match holds. A text's words are hashed
+as a block; rules without a keyword in the text never run, and a text without any keyword
+is only counted. Of overlapping detections, one that lies inside a kept one of the same or
+a higher priority is suppressed; base phrases are always kept. The score is the doubt that
+all kept detections leave, taken from one.
 
 Scale: a narrow pass; memory is bounded by a block of texts or the longest text.
 
@@ -16,7 +17,6 @@ matched whole, in time linear in their words.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -28,109 +28,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as X
+from .signatures import SIGNATURES
 
 #: Phrases and labels that must be found.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label, full name, short name (both as normalised words), and versions.
-FAMILIES = [
-    ("gpl", "gnu general public license", "gpl", "1 2 3"),
-    ("lgpl", "gnu lesser general public license", "lgpl", "2 2.1 3"),
-    ("lgpl", "gnu library general public license", "lgpl", "2"),
-    ("agpl", "gnu affero general public license", "agpl", "1 3"),
-    ("gfdl", "gnu free documentation license", "gfdl", "1.1 1.2 1.3"),
-    ("apache", "apache license", "apache", "1.0 1.1 2.0"),
-    ("mit", "mit license", "mit", ""),
-    ("bsd", "berkeley software distribution license", "bsd", "2 3 4"),
-    ("bsd", "bsd license", "bsd", ""),
-    ("mpl", "mozilla public license", "mpl", "1.0 1.1 2.0"),
-    ("epl", "eclipse public license", "epl", "1.0 2.0"),
-    ("cddl", "common development and distribution license", "cddl", "1.0 1.1"),
-    ("cpl", "common public license", "cpl", "1.0"),
-    ("eupl", "european union public licence", "eupl", "1.1 1.2"),
-    ("isc", "isc license", "isc", ""),
-    ("zlib", "zlib license", "zlib", ""),
-    ("artistic", "artistic license", "artistic", "1.0 2.0"),
-    ("unlicense", "the unlicense", "unlicense", ""),
-    ("wtfpl", "do what the fuck you want to public license", "wtfpl", "2"),
-    ("bsl", "boost software license", "bsl", "1.0"),
-    ("psf", "python software foundation license", "psf", "2"),
-    ("ofl", "sil open font license", "ofl", "1.0 1.1"),
-    ("openssl", "openssl license", "openssl", ""),
-    ("ms-pl", "microsoft public license", "ms pl", ""),
-    ("ms-rl", "microsoft reciprocal license", "ms rl", ""),
-    ("afl", "academic free license", "afl", "2.1 3.0"),
-    ("osl", "open software license", "osl", "2.1 3.0"),
-    ("odbl", "open database license", "odbl", "1.0"),
-    ("pddl", "public domain dedication and license", "pddl", "1.0"),
-    ("cc-by", "creative commons attribution", "cc by", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-sa", "creative commons attribution sharealike", "cc by sa", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nd", "creative commons attribution noderivatives", "cc by nd", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nc", "creative commons attribution noncommercial", "cc by nc", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike", "cc by nc sa", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives", "cc by nc nd", "1.0 2.0 2.5 3.0 4.0"),
-    ("cc0", "creative commons zero", "cc0", "1.0"),
-]
-#: Further signatures: label, pattern over normalised words, keyword, weight.
-PHRASES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby", 0.95),
-    ("bsd", "redistribution and use in source and binary forms(?: with or without modification)?", "redistribution", 0.9),
-    ("apache", "apache org licenses license 2 0", "apache", 0.95),
-    ("gpl", "gnu org (?:licenses|copyleft)(?: gpl)?", "gnu", 0.7),
-    ("cc-by", "creativecommons org licenses by(?: [1-4] \\d)?", "creativecommons", 0.9),
-    ("cc-by-sa", "creativecommons org licenses by sa(?: [1-4] \\d)?", "creativecommons", 0.9),
-    ("cc-by-nc", "creativecommons org licenses by nc(?: [1-4] \\d)?", "creativecommons", 0.9),
-    ("cc0", "creativecommons org publicdomain zero", "creativecommons", 0.9),
-    ("public-domain", "(?:dedicated to|released into|in) the public domain", "domain", 0.7),
-    ("proprietary", "all rights reserved", "reserved", 0.5),
-    ("proprietary", "proprietary and confidential", "proprietary", 0.8),
-    ("copyright", "copyright (?:c )?(?:19|20)\\d\\d", "copyright", 0.4),
-    ("isc", "permission to use copy modify and or distribute this software", "permission", 0.9),
-    ("zlib", "this software is provided as is without any express or implied warranty", "provided", 0.6),
-]
-
-
 class Rule(NamedTuple):
-    label: str
+    label: str  # may name the pattern's group
     pattern: re.Pattern
-    keyword: str
+    keywords: tuple[str, ...]  # any match holds one of them
     priority: int  # the higher, the stronger
     weight: float
     base: bool
 
 
-def _rule(label: str, pattern: str, keyword: str, priority: int, weight: float, base: bool = False) -> Rule:
-    return Rule(label, re.compile(rf"(?<= )(?:{pattern})(?= )"), keyword, priority, weight, base)
+def _rule(label: str, pattern: str, keywords: str, priority: int, weight: float, base: bool = False) -> Rule:
+    return Rule(label, re.compile(rf"(?<= )(?:{pattern})(?= )"), tuple(keywords.split("/")), priority, weight, base)
 
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules in order: base phrases, then of each family by how much they say."""
+    """All rules in order: base phrases, then the signatures."""
     out = [_rule(label, phrase, phrase.split()[0], 9, 0.9, base=True) for phrase, label in BASE.items()]
-    for label, full, short, versions in FAMILIES:
-        full_word = max((w for w in full.split() if w not in ("license", "public", "general", "software", "the")), key=len)
-        key = short.split()[0]
-        exact = [v.replace(".", " ") for v in versions.split()]
-        for v in exact:
-            named = f"{label}-{v.replace(' ', '.')}"
-            out.append(_rule(named, f"(?:the )?{full}(?: version| v)? (?:v)?{v}(?: international| generic| unported)?", full_word, 8, 0.98))
-            out.append(_rule(named, f"spdx license identifier {short} {v}(?: only| or later)?", "spdx", 8, 1.0))
-            out.append(_rule(named, f"{short} (?:v )?v?{v}", key, 7, 0.85))
-        out.append(_rule(label, f"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of the )?{full}", full_word, 6, 0.95))
-        out.append(_rule(label, f"(?:licensed|released|distributed|available|published) under (?:the |an |a )?{short}(?: license)?", key, 6, 0.9))
-        out.append(_rule(label, f"spdx license identifier {short}", "spdx", 6, 0.98))
-        out.append(_rule(label, full, full_word, 5, 0.8))
-        if short not in BASE:
-            out.append(_rule(label, f"{short} licen[sc]ed?", key, 4, 0.7))
-    out += [_rule(label, pattern, keyword, 3, weight) for label, pattern, keyword, weight in PHRASES]
-    return tuple(dict.fromkeys(out))
+    for line in SIGNATURES.strip().split("\n"):
+        head, pattern = line.split(" | ", 1)
+        priority, weight, label, keywords = head.split()
+        out.append(_rule(label, pattern, keywords, int(priority), float(weight)))
+    return tuple(out)
 
 
 @cache
-def _by_keyword() -> tuple[np.ndarray, dict[int, tuple[Rule, ...]]]:
-    by: dict[str, list[Rule]] = {}
-    for r in rules():
-        by.setdefault(r.keyword, []).append(r)
+def _by_keyword() -> tuple[np.ndarray, dict[int, tuple[int, ...]]]:
+    """Sorted hashes of all keywords, and the places of each one's rules."""
+    by: dict[str, list[int]] = {}
+    for k, r in enumerate(rules()):
+        for word in r.keywords:
+            by.setdefault(word, []).append(k)
     keys = list(by)
     h = X.hashes(X.words([k.encode() for k in keys], X.ALNUM, lower=True))
     return np.sort(h), {int(x): tuple(by[k]) for x, k in zip(h, keys)}
@@ -145,20 +78,43 @@ class Detection(NamedTuple):
     base: bool
 
 
+class Kept:
+    """Intervals, and whether one of them holds another: the greatest end up to each start, in a Fenwick tree."""
+
+    def __init__(self, starts: set[int]):
+        self.place = {s: k + 1 for k, s in enumerate(sorted(starts))}
+        self.end = [-1] * (len(starts) + 1)
+
+    def add(self, d: Detection) -> None:
+        k = self.place[d.start]
+        while k < len(self.end):
+            self.end[k] = max(self.end[k], d.end)
+            k += k & -k
+
+    def holds(self, d: Detection) -> bool:
+        k, most = self.place[d.start], -1
+        while k:
+            most = max(most, self.end[k])
+            k -= k & -k
+        return most >= d.end
+
+
 def suppressed(found: list[Detection]) -> list[Detection]:
-    """``found`` without detections inside a kept one; base phrases stay. Linear but for sorting and insertion."""
-    kept: list[Detection] = [d for d in found if d.base]
-    starts: list[int] = []
-    ends: list[int] = []  # of intervals that hold each other nowhere, so both lists ascend
+    """``found`` without detections inside a kept one, in order of priority and length; base phrases come first and stay.
+
+    A base phrase inside another kept detection weighs nothing, as that one counts.
+    """
+    starts = {d.start for d in found}
+    every, others = Kept(starts), Kept(starts)
+    base, rest = [d for d in found if d.base], []
+    for d in base:
+        every.add(d)
     for d in sorted((d for d in found if not d.base), key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
-        at = bisect_right(starts, d.start)
-        if at and ends[at - 1] >= d.end:
-            continue
-        kept.append(d)
-        if at == len(starts) or ends[at] > d.end:
-            starts.insert(at, d.start)
-            ends.insert(at, d.end)
-    return sorted(kept)
+        if not every.holds(d):
+            every.add(d)
+            others.add(d)
+            rest.append(d)
+    return sorted(rest + [d._replace(weight=0.0) if others.holds(d) else d for d in base])
 
 
 def detect(text: bytes, active: list[Rule]) -> list[Detection]:
@@ -169,7 +125,8 @@ def detect(text: bytes, active: list[Rule]) -> list[Detection]:
     for r in active:
         for m in r.pattern.finditer(line):
             a, b = np.searchsorted(at, (m.start(), m.end()))
-            found.append(Detection(int(a), int(b), r.label, r.weight, r.priority, r.base))
+            label = m.expand(r.label).replace(" ", ".") if "\\" in r.label else r.label
+            found.append(Detection(int(a), int(b), label, r.weight, r.priority, r.base))
     return suppressed(found)
 
 
@@ -178,7 +135,7 @@ _ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, by = _by_keyword()
+    (keys, by), every = _by_keyword(), rules()
     for b in batches:
         counts, found = [], []
         for _, texts in X.blocks(b["__text"]):
@@ -189,9 +146,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit = np.flatnonzero(keys[place] == h)
             active: dict[int, set[int]] = {}
             for t, x in zip(w.text_of_word()[hit].tolist(), h[hit].tolist()):
-                active.setdefault(t, set()).add(x)
+                active.setdefault(t, set()).update(by[x])
             for i, t in enumerate(texts):
-                chosen = [r for x in sorted(active[i]) for r in by[x]] if i in active else []
+                chosen = [every[k] for k in sorted(active.get(i, ()))]
                 found.append([{"start": d.start, "end": d.end, "label": d.label, "weight": d.weight, "base": d.base} for d in detect(t, chosen)] if chosen else [])
         if b.num_rows:
             kept = [c for c in b.schema.names if c != "__text"]
