@@ -197,7 +197,7 @@ SIGNATURES = r"""
 5 0.80 eupl european | european union public licen[sc]e
 5 0.80 isc isc | isc licen[sc]e
 5 0.80 zlib zlib | zlib(?: libpng)? licen[sc]e
-5 0.80 libpng libpng | (?:png reference library|libpng) licen[sc]e
+5 0.80 libpng libpng/png | (?:png reference library|libpng) licen[sc]e
 5 0.80 artistic artistic | (?:perl )?artistic licen[sc]e
 5 0.80 unlicense unlicense | the unlicense
 5 0.80 wtfpl fuck | do what the fuck you want to public licen[sc]e
@@ -265,7 +265,7 @@ SIGNATURES = r"""
 3 0.80 proprietary proprietary | proprietary and confidential
 3 0.80 proprietary unauthorized | unauthorized (?:copying|reproduction|distribution) of this file
 3 0.60 proprietary confidential | confidential and proprietary
-3 0.60 eula eula | end user licen[sc]e agreement|eula
+3 0.60 eula eula/agreement | end user licen[sc]e agreement|eula
 3 0.40 copyright copyright | copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)?
 3 0.40 copyright copr | copr (?:19|20)\d\d
 3 0.50 disclaimer warranty | (?:provided|distributed) as is(?: and)? without (?:any )?(?:express or implied )?warranty
