@@ -5,7 +5,8 @@ tells, ``parent_kind`` (string, null, absent or invalid), ``child_list`` (the ex
 null without) and ``child_kind`` (list, absent or invalid), ``id_ok``. Links are joins on
 (keys, node), so a conversation of any size is spread by its nodes; cycles and active paths
 use pointer doubling: the number of joins grows with the logarithm of the longest chain, as
-many as the largest conversation's nodes need, without a bound.
+many as the largest conversation's nodes need, without a bound. Each doubling is a table in the
+shared folder, so plans don't grow, and cycles and paths read the same ones.
 """
 
 from __future__ import annotations
@@ -14,11 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import words
+from ..sources.stored import stored
 
 CONV = ("conv",)
-PLANNED = 3  # doublings in one plan, which each makes twice as large
-
-
 def with_kinds(nodes: DataFrame) -> DataFrame:
     """Adds the optional columns with what a plain parent column means."""
     out = nodes
@@ -42,14 +41,29 @@ def links(nodes: DataFrame, keys=CONV) -> DataFrame:
 
 
 def children(linked: DataFrame, keys=CONV) -> DataFrame:
-    """(keys, up, n_children, derived): the child lists that parents imply."""
-    return linked.where(F.col("up").isNotNull()).groupBy(*keys, "up").agg(F.count("*").alias("n_children"), F.sort_array(F.collect_set("node")).alias("derived"))
+    """(keys, up, n_children): how many nodes name each as their parent."""
+    return linked.where(F.col("up").isNotNull()).groupBy(*keys, "up").agg(F.count("*").alias("n_children"))
+
+
+def child_mismatches(linked: DataFrame, keys=CONV) -> DataFrame:
+    """(keys, node) of nodes whose explicit child list repeats a name or differs from what parents imply.
+
+    Both sides are rows, never lists gathered by parent.
+    """
+    listed = linked.where(F.col("child_kind") == "list").select(*keys, "node", F.explode("child_list").alias("child"))
+    listing = linked.where(F.col("child_kind") == "list").select(*keys, "node")
+    derived = linked.where(F.col("up").isNotNull()).select(*keys, F.col("up").alias("node"), F.col("node").alias("child")).join(listing, [*keys, "node"], "left_semi")
+    both = listed.withColumn("side", F.lit(1)).unionByName(derived.withColumn("side", F.lit(2)))
+    tally = both.groupBy(*keys, "node", "child").agg(F.count(F.when(F.col("side") == 1, 1)).alias("named"), F.count(F.when(F.col("side") == 2, 1)).alias("own"))
+    return tally.where((F.col("named") != 1) | (F.col("own") == 0)).select(*keys, "node").distinct()
 
 
 def _doubled(step: DataFrame, keys) -> DataFrame:
-    a, b = step.alias("a"), step.alias("b")
+    """(keys, node, up, least, moved) after each node's way is twice as long, or ends. Stored, so that a plan holds one doubling."""
+    a, b = step.select(*keys, "node", "up", "least").alias("a"), step.select(*keys, "node", "up", "least").alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.up") == F.col("b.node")]
-    return a.join(b, on, "left").select(*(F.col(f"a.{k}") for k in keys), "a.node", F.col("b.up").alias("up"), F.coalesce(F.least("a.least", "b.least"), F.col("a.least")).alias("least"))
+    out = a.join(b, on, "left").select(*(F.col(f"a.{k}") for k in keys), "a.node", F.col("b.up").alias("up"), F.coalesce(F.least("a.least", "b.least"), F.col("a.least")).alias("least"))
+    return stored(out, "doubled")
 
 
 def _steps_needed(linked: DataFrame, keys) -> int:
@@ -57,36 +71,35 @@ def _steps_needed(linked: DataFrame, keys) -> int:
     return max(1, (most - 1).bit_length())
 
 
-def _planned(step: DataFrame, k: int) -> DataFrame:
-    """``step`` after doubling ``k``; at times checkpointed, so that plans stay small however long the chains are."""
-    if (k + 1) % PLANNED:
-        return step
-    sc = step.sparkSession.sparkContext
-    return step.checkpoint() if sc.getCheckpointDir() else step.localCheckpoint()
+def doublings(linked: DataFrame, keys=CONV, steps: int | None = None) -> list[DataFrame]:
+    """(keys, node, up, least) where ways of 1, 2, 4, ... links lead and the least node on them.
 
+    As many as the longest conversation's nodes need, fewer where all ways have ended at roots.
+    """
+    steps = steps or _steps_needed(linked, keys)
+    out = [stored(linked.select(*keys, "node", "up", F.least("node", F.coalesce("up", "node")).alias("least")), "links")]
+    for _ in range(steps):
+        if out[-1].where(F.col("up").isNotNull()).isEmpty():
+            break
+        out.append(_doubled(out[-1], keys))
+    return out
 
-def cycles(linked: DataFrame, keys=CONV, steps: int | None = None) -> DataFrame:
+
+def cycles(linked: DataFrame, keys=CONV, steps: int | None = None, ways: list[DataFrame] | None = None) -> DataFrame:
     """(keys, node, cycle): nodes on a cycle, and the cycle's least node."""
-    steps = steps or _steps_needed(linked, keys)
-    step = linked.select(*keys, "node", "up", F.least("node", F.coalesce("up", "node")).alias("least"))
-    for k in range(steps):
-        step = _planned(_doubled(step, keys), k)
+    step = (ways or doublings(linked, keys, steps))[-1]
     ends = step.where(F.col("up").isNotNull()).select(*keys, F.col("up").alias("node")).distinct()
     # where 2^steps links lead is on a cycle, and every node of a cycle is led to
     return step.join(ends, [*keys, "node"], "left_semi").select(*keys, "node", F.col("least").alias("cycle"))
 
 
-def active_path(linked: DataFrame, current: DataFrame, keys=CONV, steps: int | None = None) -> DataFrame:
+def active_path(linked: DataFrame, current: DataFrame, keys=CONV, steps: int | None = None, ways: list[DataFrame] | None = None) -> DataFrame:
     """(keys, node) on the way from ``current`` (keys, node) to a root; nothing for a conversation whose way doesn't end at one."""
-    steps = steps or _steps_needed(linked, keys)
-    step = linked.select(*keys, "node", "up", F.col("node").alias("least"))
     known = linked.select(*keys, "node", "parent_kind")
     path = current.join(known, [*keys, "node"], "left_semi").select(*keys, "node").distinct()
-    for k in range(steps):
+    for step in ways or doublings(linked, keys, steps):
         jump = path.join(step.select(*keys, "node", "up"), [*keys, "node"]).where(F.col("up").isNotNull()).select(*keys, F.col("up").alias("node"))
-        path = _planned(path.unionByName(jump).distinct(), k)
-        if k + 1 < steps:
-            step = _planned(_doubled(step, keys), k)
+        path = stored(path.unionByName(jump).distinct(), "path")
     ended = path.join(known, [*keys, "node"]).where(_is_root()).select(*keys).distinct()
     return path.join(ended, [*keys], "left_semi")
 
@@ -106,16 +119,17 @@ def metrics(nodes: DataFrame, current: DataFrame | None = None, keys=CONV, steps
     nodes = with_kinds(nodes)
     linked = links(nodes, keys)
     kids = children(linked, keys).withColumnRenamed("up", "node")
-    loop = cycles(linked, keys, steps)
+    ways = doublings(linked, keys, steps)
+    loop = cycles(linked, keys, ways=ways)
     rows = linked.join(kids, [*keys, "node"], "left").join(loop, [*keys, "node"], "left")
+    odd = child_mismatches(linked, keys).withColumn("mismatch", F.lit(True))
+    rows = rows.join(odd, [*keys, "node"], "left")
     if current is not None:
-        path = active_path(linked, current, keys, steps).withColumn("on_path", F.lit(True))
+        path = active_path(linked, current, keys, ways=ways).withColumn("on_path", F.lit(True))
         rows = rows.join(path, [*keys, "node"], "left")
     else:
         rows = rows.withColumn("on_path", F.lit(False))
     n_kids = F.coalesce("n_children", F.lit(0))
-    listed = F.coalesce("child_list", F.array().cast("array<string>"))
-    mismatch = (F.col("child_kind") == "list") & ((F.size(listed) != F.size(F.array_distinct(listed))) | (F.sort_array(listed) != F.coalesce("derived", F.array().cast("array<string>"))))
     message = F.col("is_message") if "is_message" in nodes.columns else F.lit(True)
     tally = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     out = rows.groupBy(*keys).agg(
@@ -134,7 +148,7 @@ def metrics(nodes: DataFrame, current: DataFrame | None = None, keys=CONV, steps
         tally(F.col("parent_kind") == "invalid").alias("invalid_parent_type"),
         tally((F.col("parent_kind") == "string") & F.col("up").isNull()).alias("missing_parent"),
         tally(F.col("child_kind") == "invalid").alias("invalid_children"),
-        tally(mismatch).alias("children_mismatch"),
+        tally(F.col("mismatch").isNotNull()).alias("children_mismatch"),
     )
     if current is not None:
         at = current.select(*keys, F.col("node").alias("_at")).join(nodes.select(*keys, F.col("node").alias("_at"), F.lit(True).alias("_known")).distinct(), [*keys, "_at"], "left")
