@@ -141,7 +141,13 @@ def test_resolution(spark):
     a = linkage.build_aliases(["p.dat", "q.bundle", "r.png"], [{"p.dat": "one"}, {"m": {"two": {"files": ["p.dat", "q.bundle"]}}}, [{"file_id": "f", "file_name": "q.bundle"}, {"file_id": 3}], {"one": "again"}])
     assert a.stats == {"metadata_files_scanned": 4, "aux_alias_records": 2, "manifest_mapping_records": 1, "file_metadata_records": 1}
     refs = spark.createDataFrame([(k, v) for k, v in enumerate(["sediment://one", "two", "f", "nothing", "r.png", "p.dat", "file-service://again"])], "k int, value string")
-    got = {r["value"]: (r["resolution"], r["targets"], r["method"]) for r in linkage.resolved(refs, *a.tables(spark), ["k"]).collect()}
+    alias, methods, candidates = a.tables(spark)
+    known = linkage.resolved(refs, alias, methods, candidates, ["k"])
+    links = {}
+    for r in linkage.targets(known, alias, candidates, ["k"]).collect():
+        links.setdefault(r["k"], []).append(r["entry_ordinal"])
+    got = {r["value"]: (r["resolution"], sorted(links.get(r["k"], [])), r["method"]) for r in known.collect()}
+    assert all(r["n_targets"] == len(links.get(r["k"], [])) for r in known.collect())
     assert got == {"sediment://one": ("resolved", [0], "explicit_aux_alias"), "two": ("ambiguous", [0, 1], "explicit_mapping_candidates"), "f": ("candidate_filename_join", [1], "unverified_filename_join"), "nothing": ("unresolved", [], "none"), "r.png": ("unresolved", [], "none"), "p.dat": ("resolved", [0], "exact_zip_path"), "file-service://again": ("resolved", [0], "explicit_aux_alias")}
 
 

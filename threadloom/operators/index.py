@@ -1,18 +1,19 @@
-"""The structural index: tables of digests, enums and numbers, a partition for each shard.
+"""The structural index: tables of digests, enums and numbers, a partition for each shard and batch.
 
-A shard's rows are written to all tables first and its row in ``shards`` last, so a shard
-counts when it is complete; work that was cut off is done again for that shard alone, by
-overwriting its partitions.
+Conversations are indexed in batches of ``BATCH`` of each shard, of all shards at once. A
+batch's rows are written to all tables first and its row in ``shards`` last, so a batch counts
+when it is committed, and a shard when its last one is. A run that was cut off goes on behind
+what is committed, by overwriting the partitions of the batch that was not.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import constants as K
 from ..functions.errors import need
@@ -28,27 +29,29 @@ ANALYSED = (
     "nodes array<struct<node_digest: string, parent_digest: string, message_digest: string, is_message: boolean, role: string, content_type: string, create_time: double, update_time: double, active: boolean>>, "
     "refs array<struct<node_digest: string, reference_ordinal: int, reference_digest: string, field_path_digest: string, kind: string, value: string>>"
 )
+#: Conversations of a shard between commits.
+BATCH = 1 << 16
 TABLES = ("conversations", "nodes", "attachment_refs", "attachment_links")
 _REF = ["shard", "conversation_ordinal", "node_digest", "reference_ordinal"]
 
 
 def analysed(raw: DataFrame) -> DataFrame:
-    """Conversations (shard, ordinal, payload) decoded and indexed, each where it was read."""
+    """Conversations (shard, ordinal, payload) decoded and indexed, each where it was read; rows leave as Arrow structs."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in parts:
-            out = [json.dumps(index_rows(load(p.encode()), int(s), int(o))) for s, o, p in zip(rows["shard"], rows["ordinal"], rows["payload"])]
-            yield pd.DataFrame({"shard": rows["shard"], "ordinal": rows["ordinal"], "body": out})
+    schema = StructType.fromDDL(ANALYSED)
+    arrow = to_arrow_schema(schema)
 
-    body = raw.select("shard", "ordinal", "payload").mapInPandas(run, "shard long, ordinal int, body string")
-    return body.select("shard", "ordinal", F.from_json("body", _body_schema()).alias("b")).select("shard", "ordinal", "b.conversation", "b.nodes", "b.refs")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for shard, ordinal, payload in zip(*(b[c].to_pylist() for c in ("shard", "ordinal", "payload"))):
+                row = index_rows(load(payload.encode()), shard, ordinal)
+                talk = row["conversation"]
+                out.append({"shard": shard, "ordinal": ordinal, "conversation": talk | {"anomalies": list(talk["anomalies"].items())}, "nodes": row["nodes"], "refs": row["refs"]})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-
-def _body_schema():
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    whole = _parse_datatype_string(ANALYSED)
-    return StructType(whole.fields[2:])
+    return raw.select("shard", "ordinal", "payload").mapInArrow(run, schema)
 
 
 def tables(rows: DataFrame, aliases: linkage.Aliases) -> dict[str, DataFrame]:
@@ -56,12 +59,13 @@ def tables(rows: DataFrame, aliases: linkage.Aliases) -> dict[str, DataFrame]:
     spark = rows.sparkSession
     at = [F.col("shard"), F.col("ordinal").alias("conversation_ordinal")]
     refs = rows.select(*at, F.explode("refs").alias("r")).select("shard", "conversation_ordinal", "r.*")
-    known = linkage.resolved(refs, *aliases.tables(spark), _REF)
+    alias, methods, candidates = aliases.tables(spark)
+    known = linkage.resolved(refs, alias, methods, candidates, _REF)
     return {
         "conversations": rows.select("shard", "ordinal", "conversation.*"),
         "nodes": rows.select(*at, F.explode("nodes").alias("n")).select("shard", "conversation_ordinal", "n.*"),
         "attachment_refs": known.select(*_REF, "reference_digest", "field_path_digest", "kind", "resolution"),
-        "attachment_links": known.select(*_REF, "method", F.explode("targets").alias("entry_ordinal")),
+        "attachment_links": linkage.targets(known, alias, candidates, _REF),
     }
 
 
@@ -83,38 +87,65 @@ class Index:
         else:
             self.spark.createDataFrame([("fingerprint", fingerprint)], "key string, value string").coalesce(1).write.parquet(f"{self.folder}/run")
 
-    def shards(self) -> DataFrame:
+    def batches(self) -> DataFrame:
+        """A row for each committed batch."""
+        schema = "committed long, status string, shard long, batch long"
         if not self._exists("shards"):
-            return self.spark.createDataFrame([], "committed long, status string, shard long")
-        return self.spark.read.schema("committed long, status string, shard long").parquet(f"{self.folder}/shards")
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/shards")
+
+    def shards(self) -> DataFrame:
+        """(shard, committed, status): how many conversations of each shard are committed, ``complete`` or still ``indexing``."""
+        done = F.max(F.col("status") == "complete")
+        return self.batches().groupBy("shard").agg(F.max("committed").alias("committed"), F.when(done, "complete").otherwise("indexing").alias("status"))
 
     def complete(self) -> set[int]:
         return {r["shard"] for r in self.shards().where("status = 'complete'").select("shard").collect()}  # shards: few
 
     def _put(self, name: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(f"{self.folder}/{name}")
-
-    def add_shard(self, shard: int, raw: DataFrame, aliases: linkage.Aliases, interrupt: bool = False) -> bool:
-        """Indexes a shard unless it is complete. ``interrupt`` stops before the commit, as a crash would."""
-        if shard in self.complete():
-            return False
-        rows = analysed(raw.where(F.col("shard") == shard)).persist()
-        try:
-            for name, df in tables(rows, aliases).items():
-                self._put(name, df)
-            need(not interrupt, "SYNTHETIC_INTERRUPT")
-            done = rows.agg(F.count("*").alias("committed")).select("committed", F.lit("complete").alias("status"), F.lit(shard).cast("long").alias("shard"))
-            self._put("shards", done)
-        finally:
-            rows.unpersist()
-        return True
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard", "batch").parquet(f"{self.folder}/{name}")
+
+    def add(self, shards: list[int], raw: DataFrame, aliases: linkage.Aliases, interrupt: bool = False, batch: int = BATCH, committed: Callable[[], object] | None = None) -> list[int]:
+        """Indexes those of ``shards`` that are not complete, from what is committed on; gives them.
+
+        ``committed`` is called after each commit; ``interrupt`` stops before the first, as a crash would.
+        """
+        state = {r["shard"]: r for r in self.shards().collect()}
+        todo = {s: state[s]["committed"] if s in state else 0 for s in shards if s not in state or state[s]["status"] != "complete"}
+        begun = list(todo)
+        if resumed := [s for s, n in todo.items() if n]:
+            ends = {r["shard"]: r["n"] for r in raw.where(F.col("shard").isin(resumed)).groupBy("shard").agg(F.max("ordinal").alias("n")).collect()}
+            need(all(ends.get(s, -1) + 1 >= todo[s] for s in resumed), "CHECKPOINT_PAST_EOF")
+        while todo:
+            starts = self.spark.createDataFrame([(s, n) for s, n in sorted(todo.items())], "shard long, batch long")
+            part = raw.join(F.broadcast(starts), "shard").where((F.col("ordinal") >= F.col("batch")) & (F.col("ordinal") < F.col("batch") + batch))
+            rows = analysed(part).persist()
+            try:
+                for name, df in tables(rows, aliases).items():
+                    self._put(name, df.join(F.broadcast(starts), "shard"))
+                need(not interrupt, "SYNTHETIC_INTERRUPT")
+                n = F.coalesce("n", F.lit(0))
+                done = starts.join(rows.groupBy("shard").agg(F.count("*").alias("n")), "shard", "left")
+                done = done.select((F.col("batch") + n).alias("committed"), F.when(n < batch, "complete").otherwise("indexing").alias("status"), "shard", "batch")
+                self._put("shards", done.coalesce(1))
+            finally:
+                rows.unpersist()
+            if committed:
+                committed()
+            state = {r["shard"]: r for r in self.shards().collect()}
+            todo = {s: state[s]["committed"] for s in todo if state[s]["status"] != "complete"}
+        return begun
+
+    def add_shard(self, shard: int, raw: DataFrame, aliases: linkage.Aliases, interrupt: bool = False, batch: int = BATCH) -> bool:
+        """One shard; False where it is complete."""
+        return bool(self.add([shard], raw.where(F.col("shard") == shard), aliases, interrupt, batch))
 
     def table(self, name: str) -> DataFrame:
         """Rows of complete shards."""
-        done = self.shards().where("status = 'complete'").select("shard")
         if not self._exists(name):
             return self.spark.createDataFrame([], _schema(name))
-        return self.spark.read.schema(_schema(name)).parquet(f"{self.folder}/{name}").join(F.broadcast(done), "shard", "left_semi")
+        done = self.batches().join(self.shards().where("status = 'complete'").select("shard"), "shard", "left_semi").select("shard", "batch")
+        return self.spark.read.schema(f"{_schema(name)}, batch long").parquet(f"{self.folder}/{name}").join(done, ["shard", "batch"], "left_semi").drop("batch")
 
 
 def _schema(name: str) -> str:

@@ -93,21 +93,35 @@ def reference_keys(value):
     return F.array_compact(F.array(value, *(F.when(value.startswith(p), F.substring(value, len(p) + 1, 1 << 30)) for p in K.REFERENCE_PREFIXES)))
 
 
+def _found(refs: DataFrame, table: DataFrame, ident: list[str]) -> DataFrame:
+    """(ident, entry_ordinal): the distinct members that a reference's keys lead to, a row for each."""
+    keyed = refs.select(*ident, F.explode(F.array_distinct(reference_keys(F.col("value")))).alias("key"))
+    return keyed.join(table, "key").select(*ident, "entry_ordinal").distinct()
+
+
 def resolved(refs: DataFrame, alias: DataFrame, methods: DataFrame, candidates: DataFrame, ident: list[str]) -> DataFrame:
-    """``refs`` (ident, value) with ``resolution``, ``targets`` (member ordinals) and ``method``.
+    """``refs`` (ident, value) with ``resolution``, ``n_targets`` and ``method``.
 
     The tables may be keyed by anything string-like; Spark broadcasts them where they are small.
+    Targets are counted, not gathered: ``targets`` gives them as rows.
     """
     keyed = refs.select(*ident, F.explode(F.array_distinct(reference_keys(F.col("value")))).alias("key"))
-    ours = keyed.join(alias, "key").groupBy(*ident).agg(F.array_sort(F.collect_set("entry_ordinal")).alias("exact"))
-    how = keyed.join(methods, "key").groupBy(*ident).agg(F.array_join(F.array_sort(F.collect_set("method")), "+").alias("how"))
-    maybe = keyed.join(candidates, "key").groupBy(*ident).agg(F.array_sort(F.collect_set("entry_ordinal")).alias("maybe"))
+    ours = _found(refs, alias, ident).groupBy(*ident).agg(F.count("*").alias("exact"))
+    how = keyed.join(methods, "key").groupBy(*ident).agg(F.array_join(F.array_sort(F.collect_set("method")), "+").alias("how"))  # of four methods at most
+    maybe = _found(refs, candidates, ident).groupBy(*ident).agg(F.count("*").alias("maybe"))
     out = refs.join(ours, ident, "left").join(how, ident, "left").join(maybe, ident, "left")
-    n, none = F.coalesce(F.size("exact"), F.lit(0)), F.array().cast("array<int>")
-    n = F.when(F.col("exact").isNull(), 0).otherwise(n)
+    n = F.coalesce("exact", F.lit(0))
     return out.select(
         *refs.columns,
         F.when(n == 1, "resolved").when(n > 1, "ambiguous").when(F.col("maybe").isNotNull(), "candidate_filename_join").otherwise("unresolved").alias("resolution"),
-        F.when(n > 0, F.col("exact")).otherwise(F.coalesce("maybe", none)).alias("targets"),
+        F.when(n > 0, n).otherwise(F.coalesce("maybe", F.lit(0))).cast("long").alias("n_targets"),
         F.when(n == 1, F.coalesce("how", F.lit(""))).when(n > 1, "explicit_mapping_candidates").when(F.col("maybe").isNotNull(), "unverified_filename_join").otherwise("none").alias("method"),
     )
+
+
+def targets(known: DataFrame, alias: DataFrame, candidates: DataFrame, ident: list[str]) -> DataFrame:
+    """(ident, method, entry_ordinal) of ``resolved`` references, a row for each member that they lead or may lead to."""
+    maybe = F.col("resolution") == "candidate_filename_join"
+    sure = known.where(F.col("resolution").isin("resolved", "ambiguous"))
+    links = _found(sure, alias, ident).unionByName(_found(known.where(maybe), candidates, ident))
+    return links.join(known.select(*ident, "method"), ident).select(*ident, "method", "entry_ordinal")

@@ -22,14 +22,14 @@ def by_extension(members: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(rows: DataFrame, signature: list[str], ident: str, order: str, size: str | None = None) -> DataFrame:
-    """Groups of more than one row with one signature (and a size above 0): count and ids in order.
-
-    Counted first: only groups that have duplicates gather their ids.
-    """
+    """Groups of more than one row with one signature (and a size above 0): count, and the first id in order. No group is gathered."""
     counted = rows.where(F.col(size) > 0) if size else rows
-    several = counted.groupBy(*signature).agg(F.count("*").alias("count")).where("count > 1")
-    both = counted.join(several, signature)
-    return both.groupBy(*signature, "count").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(ident).alias("id")))), lambda s: s["id"]).alias("ids"))
+    return counted.groupBy(*signature).agg(F.count("*").alias("count"), F.min(F.struct(F.col(order).alias("at"), F.col(ident).alias("id")))["id"].alias("first_id")).where("count > 1")
+
+
+def group_members(rows: DataFrame, groups: DataFrame, signature: list[str], ident: str) -> DataFrame:
+    """(first_id, id): a row for each member of the groups."""
+    return rows.join(groups.select(*signature, "first_id"), signature).select("first_id", F.col(ident).alias("id"))
 
 
 def duplicate_candidates(members: DataFrame) -> DataFrame:
@@ -85,10 +85,19 @@ def families(census: DataFrame) -> DataFrame:
 
 
 def positional_samples(rows: DataFrame, order: str, *group: str) -> DataFrame:
-    """Of each group's rows, in order: the first, second, fourth and last."""
-    place = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    at, n = F.row_number().over(place.orderBy(order)) - 1, F.count("*").over(place)
-    return rows.withColumn("position", at).withColumn("_n", n).where(F.col("position").isin(0, 1, 3) | (F.col("position") == F.col("_n") - 1)).drop("_n")
+    """Of each group's rows, in order: the first, second, fourth and last.
+
+    The first four and the last of each group are found by top-k windows, whose group limit
+    runs before the shuffle, and a count with map-side combining; no window holds a group.
+    """
+    keys = list(group) or ["_all"]
+    every = rows if group else rows.withColumn("_all", F.lit(0))
+    n = every.groupBy(*keys).agg(F.count("*").alias("_n"))
+    up, down = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys).orderBy(F.desc(order))
+    first = every.withColumn("_k", F.row_number().over(up)).where("_k <= 4").join(n, keys).withColumn("position", F.col("_k") - 1)
+    last = every.withColumn("_k", F.row_number().over(down)).where("_k <= 1").join(n, keys).where("_n > 4").withColumn("position", (F.col("_n") - 1).cast("int"))
+    first = first.where(F.col("position").isin(0, 1, 3) | (F.col("position") == F.col("_n") - 1))
+    return first.unionByName(last).drop("_n", "_k", "_all")
 
 
 def naming_shape(names: list[str]) -> str:

@@ -54,6 +54,11 @@ def _staged_same(folder: Path, ledger: dict, code: str) -> None:
         need(r["status"] == "verified" and path.is_file() and path.stat().st_size == r["bytes"] and S.file_sha256(path) == r["sha256"], code)
 
 
+def located(folder: Path) -> str:
+    """A folder as Spark takes it: under ``spark.checkpoint.dir`` or a mount that all executors share, as the workspace itself has to be."""
+    return folder.resolve().as_uri()
+
+
 def tables(index: Index) -> dict[str, DataFrame]:
     return {name: index.table(name) for name in TABLES}
 
@@ -61,7 +66,9 @@ def tables(index: Index) -> dict[str, DataFrame]:
 def build(spark: SparkSession, ws: Workspace, interrupt_after: int | None = None) -> dict:
     """The index in ``phase2/structural_index``; the run's manifest. Complete shards are not done again.
 
-    ``interrupt_after``: stop before the commit of the shard after so many, as a crash would.
+    All shards that are left are read at once, and committed batch by batch; the manifest tells
+    how far each is. ``interrupt_after``: stop before the commit of the shard after so many, as a
+    crash would.
     """
     ws.preflight()
     out = ws.folder("phase2")
@@ -76,13 +83,21 @@ def build(spark: SparkSession, ws: Workspace, interrupt_after: int | None = None
         files = {shard: str(folder / place) for shard, (_, place, _) in discovery.shard_files(ledger).items()}
         metadata = [folder / r["destination"] for _, r in sorted(ledger["files"].items()) if r["destination"].startswith("metadata/")]
         aliases = build_aliases(_names(archive), [strict_json.load(p.read_bytes()) for p in metadata])
-        index = Index(spark, f"file://{out}/structural_index")
+        index = Index(spark, f"{located(out)}/structural_index")
         fingerprint = digest([SCHEMA_VERSION, INDEX_VERSION, ledger["source"], code_digest()])
         index.bind(fingerprint)
         raw = read_arrays(spark, files)
-        for k, shard in enumerate(files):
-            index.add_shard(shard, read_arrays(spark, {shard: files[shard]}), aliases, interrupt=k == interrupt_after)
-            ws.room()
+
+        def progress() -> None:
+            rows = [[r["shard"], r["committed"], r["status"]] for r in index.shards().orderBy("shard").collect()]
+            atomic_write(ws, out / "run_manifest.json", {"version": INDEX_VERSION, "schema": SCHEMA_VERSION, "fingerprint": fingerprint, "source": ledger["source"], "status": "indexing", "shards": rows})
+
+        progress()
+        if interrupt_after is not None and interrupt_after < len(files):
+            index.add(list(files)[:interrupt_after], raw, aliases)
+            progress()
+            index.add([list(files)[interrupt_after]], raw, aliases, interrupt=True)
+        index.add(list(files), raw, aliases, committed=lambda: (progress(), ws.room()))
         t = tables(index)
         found = summary.summary(t)
         per_shard = checks.reconcile(t, found, checks.recount(raw))

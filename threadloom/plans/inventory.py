@@ -59,7 +59,13 @@ def inventory(spark: SparkSession, ws: Workspace, archive: Path | None = None) -
         total = M.totals(rows).first().asDict()
         need(total["member_count"] > 0, "ARCHIVE_EMPTY")
         census = _plain(M.header_census(rows).collect())
-        ids = lambda df: sorted(r["ids"] for r in df.select("ids").collect())
+
+        def ids(of, groups, signature: list[str]) -> list[list[str]]:
+            out: dict[str, list[str]] = {}
+            for r in M.group_members(of, groups, signature, "entry_id").orderBy("first_id", "id").collect():
+                out.setdefault(r["first_id"], []).append(r["id"])
+            return sorted(out.values())
+
         out = {
             "phase": 1,
             "inspected_at_utc": datetime.now(timezone.utc).isoformat(),
@@ -74,8 +80,8 @@ def inventory(spark: SparkSession, ws: Workspace, archive: Path | None = None) -
             "conversation_files": [e for e in entries if e["is_conversation_json"]],
             "largest_files": _plain(M.largest(M.files(rows), "uncompressed_bytes", "zip_directory_index").select(*MEMBER).collect()),
             "opaque_payload_header_scan": {"limit_bytes_per_entry": 64, "total_bytes_read": sum(r["header_bytes_read"] or 0 for r in census), "formats": {r["header_format"]: {"count": r["count"], "uncompressed_bytes": r["uncompressed_bytes"]} for r in census}},
-            "duplicate_member_name_groups": ids(M.duplicate_names(rows)),
-            "possible_duplicate_member_groups": ids(M.duplicate_candidates(rows)),
+            "duplicate_member_name_groups": ids(rows, M.duplicate_names(rows), ["path_sha256"]),
+            "possible_duplicate_member_groups": ids(M.files(rows), M.duplicate_candidates(rows), ["uncompressed_bytes", "crc32"]),
             "schema_samples": [{"entry_id": r["entry_id"], "safe_name": r["safe_name"], **r["sample"]} for r in _plain(talks.orderBy("zip_directory_index").collect())],
             "ancillary_schema_samples": [{"entry_id": r["entry_id"], "safe_name": r["safe_name"], **{k: r["sample"][k] for k in ("bytes_read", "root_type", "paths")}} for r in _plain(rest.orderBy("zip_directory_index").collect())],
             "entries": entries,

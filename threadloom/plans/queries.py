@@ -82,7 +82,7 @@ def inventory_totals(spark, d):
 @query("SELECT n_chars, sha256(text) AS signature, count(*) AS \"count\", min(doc_id) AS first_id FROM documents WHERE n_chars > 0 GROUP BY ALL HAVING count(*) > 1")
 def duplicate_candidates(spark, d):
     groups = M.duplicate_groups(_signed(spark, d), ["n_chars", "signature"], "doc_id", "doc_id", "n_chars")
-    return groups.select("n_chars", "signature", "count", F.get("ids", F.lit(0)).alias("first_id"))
+    return groups.select("n_chars", "signature", "count", "first_id")
 
 
 @query("SELECT count(*) AS groups, coalesce(sum(c), 0)::BIGINT AS members, coalesce(sum((c - 1) * n_chars), 0)::BIGINT AS extra_bytes FROM (SELECT n_chars, count(*) AS c FROM documents WHERE n_chars > 0 GROUP BY n_chars, sha256(text) HAVING count(*) > 1)")
@@ -93,7 +93,7 @@ def duplicate_savings(spark, d):
 @query("SELECT host, count(*) AS \"count\", min(page_id) AS first_id FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages) GROUP BY host HAVING count(*) > 1")
 def duplicate_names(spark, d):
     pages = table(spark, d, "pages").select("page_id", _host(F.col("url")).alias("host"))
-    return M.duplicate_groups(pages, ["host"], "page_id", "page_id").select("host", "count", F.get("ids", F.lit(0)).alias("first_id"))
+    return M.duplicate_groups(pages, ["host"], "page_id", "page_id").select("host", "count", "first_id")
 
 
 @query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 15")
@@ -254,7 +254,7 @@ def alias_resolution(spark, d):
     alias = table(spark, d, "documents").select(first.alias("key"), F.col("doc_id").cast("int").alias("entry_ordinal"))
     methods = alias.select("key", F.lit("exact_zip_path").alias("method")).distinct()
     out = linkage.resolved(refs, alias, methods, alias.where(F.lit(False)), ["item_id"])
-    return out.select("item_id", "resolution", F.size("targets").alias("n_targets"), "method")
+    return out.select("item_id", "resolution", F.col("n_targets").cast("int").alias("n_targets"), "method")
 
 
 @query("SELECT count(*) AS links, count(DISTINCT o.o_custkey) AS members FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderstatus = 'F'")

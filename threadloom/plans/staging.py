@@ -22,7 +22,7 @@ from ..sources.zip_members import opened, read_members
 from . import inventory as I
 from .workspace import RunLock, Workspace, atomic_write
 
-LEDGER = "extraction_manifest.json"
+LEDGER, DONE = "extraction_manifest.json", "extraction_done"
 
 
 def file_sha256(path: Path) -> str:
@@ -82,6 +82,28 @@ def _copied(archive: str, ordinal: int, target: Path, size: int, crc32: str) ->
     return n, f"{crc:08x}", sha.hexdigest()
 
 
+def _noted(base: Path, entry: str, done: tuple[int, str, str]) -> None:
+    """Leaves a member's record as soon as it is verified, so a crash forgets nothing."""
+    at = base / DONE / f"{entry}.json"
+    at.parent.mkdir(parents=True, exist_ok=True)
+    partial = at.with_name(f"{at.name}.partial-{os.getpid()}")
+    partial.write_text(json.dumps(dict(zip(("bytes", "crc32", "sha256"), done))))
+    os.replace(partial, at)
+
+
+def _adopt(base: Path, ledger: dict) -> None:
+    """Takes the records that tasks left into the ledger."""
+    for at in sorted((base / DONE).glob("*.json")) if (base / DONE).is_dir() else ():
+        ledger["files"].setdefault(at.stem, {}).update({"status": "verified", **json.loads(at.read_text())})
+
+
+def _forget(base: Path) -> None:
+    if (base / DONE).is_dir():
+        for at in (base / DONE).iterdir():
+            at.unlink()
+        (base / DONE).rmdir()
+
+
 def read_ledger(folder: Path) -> dict | None:
     path = folder / LEDGER
     return json.loads(path.read_text(encoding="utf-8")) if path.exists() else None
@@ -90,7 +112,8 @@ def read_ledger(folder: Path) -> dict | None:
 def stage(spark: SparkSession, ws: Workspace) -> dict:
     """Copies what the plan asks for and the ledger lacks; gives the ledger.
 
-    Members go out in parallel, each verified by CRC and SHA-256 before it gets its name.
+    Members go out in parallel, each verified by CRC and SHA-256 before it gets its name; the
+    task that verified one leaves its record at once, and the next run adopts such records.
     The folder has to be one that executors share, as for any Spark output.
     """
     ws.preflight()
@@ -110,6 +133,7 @@ def stage(spark: SparkSession, ws: Workspace) -> dict:
         rows = [r.asDict() for r in plan.orderBy("zip_directory_index").collect()]  # one archive's JSON members
         for r in rows:
             need(ws.inside(folder / r["destination"]).is_relative_to(folder), "STAGE_PATH")
+        _adopt(folder, ledger)
         for ident, record in ledger["files"].items():
             if record["status"] == "verified":
                 path = folder / record["destination"]
@@ -118,18 +142,22 @@ def stage(spark: SparkSession, ws: Workspace) -> dict:
         for r in todo:
             ledger["files"][r["entry_id"]] = {"status": "extracting", "destination": r["destination"], "entry_ordinal": r["zip_directory_index"], "path_sha256": r["path_sha256"], "expected_bytes": r["uncompressed_bytes"], "expected_crc32": r["crc32"]}
         atomic_write(ws, folder / LEDGER, ledger)
+        _forget(folder)
         if todo:
             source, base = str(archive), str(folder)
 
             def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for x in parts:
-                    done = [_copied(source, o, Path(base) / d, n, c) for o, d, n, c in zip(x["ordinal"], x["destination"], x["size"], x["crc32"])]
-                    yield pd.DataFrame({"entry_id": x["entry_id"], "bytes": [d[0] for d in done], "crc32": [d[1] for d in done], "sha256": [d[2] for d in done]})
+                    for entry, o, d, n, c in zip(x["entry_id"], x["ordinal"], x["destination"], x["size"], x["crc32"]):
+                        _noted(Path(base), entry, _copied(source, o, Path(base) / d, n, c))
+                    yield x[["entry_id"]]
 
             work = spark.createDataFrame([(r["entry_id"], r["zip_directory_index"], r["destination"], r["uncompressed_bytes"], r["crc32"]) for r in todo], "entry_id string, ordinal int, destination string, size long, crc32 string")
-            for r in work.repartition(min(len(todo), 64)).mapInPandas(run, "entry_id string, bytes long, crc32 string, sha256 string").collect():
-                ledger["files"][r["entry_id"]] |= {"status": "verified", "bytes": r["bytes"], "crc32": r["crc32"], "sha256": r["sha256"]}
+            copied = work.repartition(len(todo), "entry_id").mapInPandas(run, "entry_id string").count()
+            need(copied == len(todo), "STAGING_PLAN_CHANGED")
+            _adopt(folder, ledger)
             atomic_write(ws, folder / LEDGER, ledger)
+            _forget(folder)
         need(set(ledger["files"]) == {r["entry_id"] for r in rows}, "STAGING_PLAN_CHANGED")
         need(sum(f["bytes"] for f in ledger["files"].values()) == sum(r["uncompressed_bytes"] for r in rows), "STAGING_TOTAL")
         atomic_write(ws, ws.folder("phase2") / "staging_pointer.json", {"relative_root": str(folder.relative_to(ws.root))})

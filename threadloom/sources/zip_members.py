@@ -8,7 +8,9 @@ the executors through pyarrow's file systems, so the path may be local, shared o
 
 from __future__ import annotations
 
+import io
 import re
+import struct
 import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
@@ -48,45 +50,81 @@ def prefix_limit(info: zipfile.ZipInfo, sampled: bool) -> int:
 
 
 class Span(InputPartition):
-    def __init__(self, first: int, last: int):
-        super().__init__((first, last))
-        self.first, self.last = first, last
+    """Entries of an archive: which, where in the directory their records are, and which are sampled."""
+
+    def __init__(self, archive: int, first: int, last: int, start: int, end: int, directory: int, sampled: frozenset[int]):
+        super().__init__((archive, first))
+        self.archive, self.first, self.last, self.start, self.end, self.directory, self.sampled = archive, first, last, start, end, directory, sampled
+
+
+#: A directory record's size without its name, extra field and comment, whose lengths are at an offset, and the record that ends a directory.
+RECORD, LENGTHS, END_RECORD = 46, 28, "<4s4H2LH"
+
+
+def directory_slice(stream, start: int, end: int, directory: int) -> zipfile.ZipFile:
+    """An archive of the entries whose directory records lie between two places; members are read from ``stream``, before ``directory``."""
+    stream.seek(start)
+    records = stream.read(end - start)
+    n, at = 0, 0
+    while at < len(records):
+        at += RECORD + sum(struct.unpack_from("<3H", records, at + LENGTHS))
+        n += 1
+    z = zipfile.ZipFile(io.BytesIO(records + struct.pack(END_RECORD, b"PK\5\6", 0, 0, n & 0xFFFF, n & 0xFFFF, len(records), 0, 0)))
+    for x in z.infolist():
+        if (x._end_offset or 0) <= x.header_offset:  # the last one ends where the whole directory starts, at the latest
+            x._end_offset = directory
+    z.fp = stream
+    return z
 
 
 class MembersReader(DataSourceReader):
-    def __init__(self, path: str, split: int):
-        self.path, self.split = path, split
+    """The driver reads each directory once; a task reads its own entries' records only."""
+
+    def __init__(self, paths: list[str], split: int):
+        self.paths, self.split = paths, split
 
     def partitions(self) -> list[Span]:
-        with opened(self.path) as f, zipfile.ZipFile(f) as z:
-            n = len(z.infolist())
-        return [Span(a, min(n, a + self.split)) for a in range(0, n, self.split)] or [Span(0, 0)]
+        out = []
+        for k, path in enumerate(self.paths):
+            with opened(path) as f, zipfile.ZipFile(f) as z:
+                infos, place = z.infolist(), z.start_dir
+                talks = [i for i, x in enumerate(infos) if re.fullmatch(K.CONVERSATION_NAME, _tail(x.filename), re.I)]
+                sampled = {talks[j] for j in sample_positions(len(talks))}
+                f.seek(place)
+                records = f.read()
+            at = 0
+            for a in range(0, len(infos), self.split):
+                b, start = min(len(infos), a + self.split), at
+                for _ in range(a, b):
+                    at += RECORD + sum(struct.unpack_from("<3H", records, at + LENGTHS))
+                out.append(Span(k, a, b, place + start, place + at, place, frozenset(i for i in sampled if a <= i < b)))
+        return out or [Span(0, 0, 0, 0, 0, 0, frozenset())]
 
     def read(self, partition: Span) -> Iterator[tuple]:
-        with opened(self.path) as f, zipfile.ZipFile(f) as z:
-            infos = z.infolist()
-            talks = [i for i, x in enumerate(infos) if re.fullmatch(K.CONVERSATION_NAME, _tail(x.filename), re.I)]
-            sampled = {talks[k] for k in sample_positions(len(talks))}
-            for i in range(partition.first, partition.last):
-                x, prefix = infos[i], None
-                if limit := prefix_limit(x, i in sampled):
+        if partition.first == partition.last:
+            return
+        with opened(self.paths[partition.archive]) as f:
+            z = directory_slice(f, partition.start, partition.end, partition.directory)
+            for i, x in enumerate(z.infolist(), partition.first):
+                prefix, sampled = None, i in partition.sampled
+                if limit := prefix_limit(x, sampled):
                     with z.open(x) as member:
                         prefix = member.read(limit)
-                yield (i, x.filename, x.file_size, x.compress_size, list(x.date_time), x.CRC, x.compress_type, x.flag_bits, x.header_offset, i in sampled, prefix)
+                yield (i, x.filename, x.file_size, x.compress_size, list(x.date_time), x.CRC, x.compress_type, x.flag_bits, x.header_offset, sampled, prefix, partition.archive)
 
 
 class ZipMembers(DataSource):
-    """Options: path, split (directory entries in a task)."""
+    """Options: path (or several, a line each), split (directory entries in a task)."""
 
     @classmethod
     def name(cls) -> str:
         return "zip_members"
 
     def schema(self) -> str:
-        return "ordinal int, name string, uncompressed_bytes long, compressed_bytes long, zip_timestamp array<int>, crc long, compression_method int, flag_bits int, header_offset long, is_sampled boolean, prefix binary"
+        return "ordinal int, name string, uncompressed_bytes long, compressed_bytes long, zip_timestamp array<int>, crc long, compression_method int, flag_bits int, header_offset long, is_sampled boolean, prefix binary, archive int"
 
     def reader(self, schema) -> MembersReader:
-        return MembersReader(self.options["path"], int(self.options.get("split", 512)))
+        return MembersReader([p for p in self.options["path"].split("\n") if p], int(self.options.get("split", 512)))
 
 
 class File(InputPartition):
@@ -141,9 +179,9 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def read_members(spark: SparkSession, path: str):
+def read_members(spark: SparkSession, *paths: str):
     register(spark)
-    return spark.read.format("zip_members").option("path", path).load()
+    return spark.read.format("zip_members").option("path", "\n".join(paths)).load()
 
 
 def read_arrays(spark: SparkSession, files: dict[int, str], archive: str | None = None):
