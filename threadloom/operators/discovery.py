@@ -57,6 +57,24 @@ def remaining(plan: DataFrame, ledger: DataFrame) -> DataFrame:
     return plan.join(ledger.where("status = 'verified'").select("entry_id"), "entry_id", "left_anti")
 
 
+def selected(entries: DataFrame, plan: DataFrame) -> DataFrame:
+    """Entries that the plan asks for."""
+    return entries.join(plan.select("entry_id"), "entry_id", "left_semi")
+
+
+#: What makes a directory entry the same one.
+IDENTITY = ["path_sha256", "uncompressed_bytes", "compressed_bytes", "crc32", "compression_method", "zip_timestamp"]
+
+
+def directory_differences(now: DataFrame, then: DataFrame) -> DataFrame:
+    """(zip_directory_index, column) where two directories differ; ``[entry]`` where only one of them has the place."""
+    a, b = (x.select("zip_directory_index", *(F.col(c).alias(f"{side}_{c}") for c in IDENTITY), F.lit(True).alias(f"{side}_there")) for side, x in (("a", now), ("b", then)))
+    both = a.join(b, "zip_directory_index", "full")
+    lone = F.when(F.col("a_there").isNull() | F.col("b_there").isNull(), F.array(F.lit("[entry]")))
+    odd = F.array_compact(F.array(*(F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), F.lit(c)) for c in IDENTITY)))
+    return both.select("zip_directory_index", F.explode(F.coalesce(lone, odd)).alias("column"))
+
+
 def shard_files(ledger: dict) -> dict[int, tuple[str, str, str]]:
     """{shard: (file name, destination, entry id)} of a ledger whose files are all verified."""
     files = ledger.get("files") if isinstance(ledger, dict) else None

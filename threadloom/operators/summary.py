@@ -41,10 +41,20 @@ def repeated(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy(*columns).count().where("count > 1").agg(F.count("*").alias("groups"))
 
 
+def distinct(rows: DataFrame, column: str) -> DataFrame:
+    """One row: how many values there are, exactly."""
+    return rows.agg(F.countDistinct(column).alias("distinct"))
+
+
+def linked(links: DataFrame, chosen: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """One row: links that a chosen row has, and distinct members among them."""
+    return links.join(chosen, keys).agg(F.count("*").alias("links"), F.countDistinct(member).alias("members"))
+
+
 def resolved_payload(refs: DataFrame, links: DataFrame) -> DataFrame:
     """One row: members that a resolved reference leads to."""
     keys = ["shard", "conversation_ordinal", "node_digest", "reference_ordinal"]
-    return links.join(refs.where("resolution = 'resolved'"), keys).agg(F.countDistinct("entry_ordinal").alias("members"))
+    return linked(links, refs.where("resolution = 'resolved'"), keys, "entry_ordinal").select("members")
 
 
 def branched(conversations: DataFrame) -> DataFrame:
@@ -74,7 +84,7 @@ def summary(t: dict[str, DataFrame]) -> dict:
         "roles": dicts(message_census(t["nodes"], "role"), "role"),
         "content_types": dicts(message_census(t["nodes"], "content_type"), "content_type"),
         "attachments": dicts(census(refs, "resolution"), "resolution"),
-        "unique_reference_digests": refs.agg(F.countDistinct("reference_digest")).first()[0],
+        "unique_reference_digests": distinct(refs, "reference_digest").first()[0],
         "resolved_payload_members": resolved_payload(refs, t["attachment_links"]).first()[0],
         "duplicate_id_groups": repeated(t["conversations"], "identity_digest").first()[0],
         "duplicate_structural_groups": repeated(t["conversations"], "structural_digest").first()[0],

@@ -54,6 +54,11 @@ def _staged_same(folder: Path, ledger: dict, code: str) -> None:
         need(r["status"] == "verified" and path.is_file() and path.stat().st_size == r["bytes"] and S.file_sha256(path) == r["sha256"], code)
 
 
+def _only_staged(folder: Path, ledger: dict) -> None:
+    there = {p.relative_to(folder).as_posix() for p in folder.rglob("*") if p.is_file()}
+    need(there == {r["destination"] for r in ledger["files"].values()} | {S.LEDGER}, "UNEXPECTED_STAGED_FILE")
+
+
 def located(folder: Path) -> str:
     """A folder as Spark takes it: under ``spark.checkpoint.dir`` or a mount that all executors share, as the workspace itself has to be."""
     return folder.resolve().as_uri()
@@ -79,6 +84,7 @@ def build(spark: SparkSession, ws: Workspace, interrupt_after: int | None = None
         ledger, archive = S.read_ledger(folder), ws.source_zip()
         _source_same(archive, ledger, "SOURCE_RESUME_CHANGED")
         _staged_same(folder, ledger, "STAGING_RESUME_CHANGED")
+        _only_staged(folder, ledger)
         need(S.directory_digest(archive) == ledger["source"]["central_directory_sha256"], "DIRECTORY_CHANGED")
         files = {shard: str(folder / place) for shard, (_, place, _) in discovery.shard_files(ledger).items()}
         metadata = [folder / r["destination"] for _, r in sorted(ledger["files"].items()) if r["destination"].startswith("metadata/")]
@@ -105,8 +111,7 @@ def build(spark: SparkSession, ws: Workspace, interrupt_after: int | None = None
         privacy = checks.privacy_audit(t)
         _staged_same(folder, ledger, "STAGED_FINAL_HASH")
         _source_same(archive, ledger, "SOURCE_FINAL_CHANGED")
-        there = {p.relative_to(folder).as_posix() for p in folder.rglob("*") if p.is_file()}
-        need(there == {r["destination"] for r in ledger["files"].values()} | {S.LEDGER}, "UNEXPECTED_STAGED_FILE")
+        _only_staged(folder, ledger)
         need(all(p.resolve().is_relative_to(ws.root) for p in ws.root.rglob("*")), "GENERATED_PATH_ESCAPE")
         shards = [[r["shard"], r["committed"], r["status"]] for r in index.shards().orderBy("shard").collect()]
         validation = {"pass": True, "per_shard": per_shard, "counts": found["counts"], "staged_hashes_revalidated": len(ledger["files"]), "privacy": privacy, "parser_tests": tests, "graph_anomalies": found["anomalies"], "limitations": LIMITS}

@@ -6,34 +6,18 @@ conversations for nodes; ``tree`` makes turn n the child of turn (n - 1) div 2.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import constants as K
 from ..functions import digests as D
-from ..operators import checks, forest, linkage, sample
+from ..operators import checks, discovery, forest, linkage, sample
 from ..operators import members as M
 from ..operators import summary as S
 from ..sources import strict_json
 from ..sources.tables import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLE, QUERIES, query
 
 def _signed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "n_chars", F.sha2("text", 256).alias("signature"))
@@ -74,11 +58,6 @@ def inventory_by_group(spark, d):
     return M.by_group(table(spark, d, "documents"), "source", bytes="n_chars")
 
 
-@query("SELECT count(*) AS members, count(DISTINCT source) AS groups, sum(n_chars)::BIGINT AS bytes, max(n_chars) AS largest FROM documents")
-def inventory_totals(spark, d):
-    return table(spark, d, "documents").agg(F.count("*").alias("members"), F.countDistinct("source").alias("groups"), F.sum("n_chars").alias("bytes"), F.max("n_chars").alias("largest"))
-
-
 @query("SELECT n_chars, sha256(text) AS signature, count(*) AS \"count\", min(doc_id) AS first_id FROM documents WHERE n_chars > 0 GROUP BY ALL HAVING count(*) > 1")
 def duplicate_candidates(spark, d):
     groups = M.duplicate_groups(_signed(spark, d), ["n_chars", "signature"], "doc_id", "doc_id", "n_chars")
@@ -139,12 +118,6 @@ def root_type_probe(spark, d):
     return table(spark, d, "events").groupBy(C.root_type(F.col("props")).alias("root_type")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'unidentified' AS header_format, count(*) AS n, sum(strlen(html))::BIGINT AS bytes FROM pages")
-def header_format(spark, d):
-    body = F.encode("html", "UTF-8")
-    return table(spark, d, "pages").groupBy(C.header_format(body).alias("header_format")).agg(F.count("*").alias("n"), F.sum(F.octet_length(body)).cast("long").alias("bytes"))
-
-
 # --- forests ---------------------------------------------------------------------------------
 
 _TREE = "(SELECT conv_id AS conv, turn, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)"
@@ -235,7 +208,7 @@ def type_census(spark, d):
 
 @query("SELECT count(DISTINCT sha256(text)) AS distinct_digests FROM documents")
 def distinct_exact(spark, d):
-    return _signed(spark, d).agg(F.countDistinct("signature").alias("distinct_digests"))
+    return S.distinct(_signed(spark, d), "signature").withColumnRenamed("distinct", "distinct_digests")
 
 
 @query("SELECT count(*) AS groups FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)")
@@ -246,31 +219,41 @@ def identity_duplicate_groups(spark, d):
 # --- joins, plans and gates ------------------------------------------------------------------
 
 
-@query("WITH w AS (SELECT item_id, split_part(text, ' ', 1) AS v FROM benchmark), a AS (SELECT split_part(text, ' ', 1) AS v, doc_id FROM documents), j AS (SELECT w.item_id, count(DISTINCT a.doc_id) AS n FROM w LEFT JOIN a ON a.v = w.v GROUP BY w.item_id) SELECT item_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution, n::INT AS n_targets, CASE WHEN n = 1 THEN 'exact_zip_path' WHEN n > 1 THEN 'explicit_mapping_candidates' ELSE 'none' END AS method FROM j")
+_SAID = "SELECT {}, unnest(generate_series(0, len(p) - 1))::INT AS place, unnest(p) AS s FROM (SELECT {}, string_split_regex(coalesce(text, ''), '{}') AS p FROM {})"
+
+
+@query(
+    f"""WITH items AS (SELECT item_id, place, trim(s) AS v FROM ({_SAID.format("item_id", "item_id, text", "[.\\n]", "benchmark")}) WHERE trim(s) <> ''),
+  lines AS (SELECT DISTINCT doc_id, trim(s) AS v FROM ({_SAID.format("doc_id", "doc_id, text", "\\n", "documents")})), parts AS (SELECT DISTINCT doc_id, trim(s) AS v FROM ({_SAID.format("doc_id", "doc_id, text", "[.\\n]", "documents")})),
+  j AS (SELECT i.item_id, i.place, (SELECT count(*) FROM lines l WHERE l.v = i.v) AS n, (SELECT count(*) FROM parts p WHERE p.v = i.v) AS maybe FROM items i)
+  SELECT item_id, place, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' WHEN maybe > 0 THEN 'candidate_filename_join' ELSE 'unresolved' END AS resolution, CASE WHEN n > 0 THEN n ELSE maybe END AS n_targets, CASE WHEN n = 1 THEN 'exact_zip_path' WHEN n > 1 THEN 'explicit_mapping_candidates' WHEN maybe > 0 THEN 'unverified_filename_join' ELSE 'none' END AS method FROM j"""
+)
 def alias_resolution(spark, d):
-    """First words of benchmark items, with a scheme before them, against first words of documents."""
-    first = F.split_part("text", F.lit(" "), F.lit(1))
-    refs = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("sediment://"), first).alias("value"))
-    alias = table(spark, d, "documents").select(first.alias("key"), F.col("doc_id").cast("int").alias("entry_ordinal"))
+    """Sentences of benchmark items, with a scheme before them, against lines of whole documents; their sentences are candidates."""
+    said = lambda name, ident, cut: table(spark, d, name).select(ident, F.posexplode(F.split(F.coalesce("text", F.lit("")), cut, -1)).alias("place", "s")).select(ident, "place", F.trim("s").alias("key"))
+    refs = said("benchmark", "item_id", "[.\n]").where("key <> ''").select("item_id", "place", F.concat(F.lit("sediment://"), "key").alias("value"))
+    alias, candidates = (said("documents", "doc_id", cut).where("key <> ''").select("key", F.col("doc_id").alias("entry_ordinal")) for cut in ("\n", "[.\n]"))
     methods = alias.select("key", F.lit("exact_zip_path").alias("method")).distinct()
-    out = linkage.resolved(refs, alias, methods, alias.where(F.lit(False)), ["item_id"])
-    return out.select("item_id", "resolution", F.col("n_targets").cast("int").alias("n_targets"), "method")
+    return linkage.resolved(refs, alias, methods, candidates, ["item_id", "place"]).select("item_id", "place", "resolution", "n_targets", "method")
 
 
 @query("SELECT count(*) AS links, count(DISTINCT o.o_custkey) AS members FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderstatus = 'F'")
 def linkage_count(spark, d):
     done = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return table(spark, d, "lineitem").select("l_orderkey").join(done, "l_orderkey").agg(F.count("*").alias("links"), F.countDistinct("o_custkey").alias("members"))
+    return S.linked(table(spark, d, "lineitem").select("l_orderkey"), done, ["l_orderkey"], "o_custkey")
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+@query("SELECT doc_id AS entry_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def plan_remaining(spark, d):
-    return table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    """Documents that no good label has verified yet."""
+    ledger = table(spark, d, "labels").select(F.col("doc_id").alias("entry_id"), F.when(F.col("quality") == 1, "verified").otherwise("extracting").alias("status"))
+    return discovery.remaining(table(spark, d, "documents").select(F.col("doc_id").alias("entry_id"), "n_chars"), ledger)
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id AS entry_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def plan_selected(spark, d):
-    return table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    plan = table(spark, d, "labels").select(F.col("doc_id").alias("entry_id"))
+    return discovery.selected(table(spark, d, "documents").select(F.col("doc_id").alias("entry_id"), "n_chars"), plan)
 
 
 @query("SELECT count(*) AS orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
@@ -301,13 +284,6 @@ def enum_audit(spark, d):
     return checks.bad_enums(table(spark, d, "events"), "event_type", "click view")
 
 
-@query("SELECT 'conversations/' || doc_id AS destination, n_chars AS bytes FROM documents UNION ALL SELECT 'metadata/' || page_id || '.json', length(html) FROM pages")
-def staging_union(spark, d):
-    docs = table(spark, d, "documents").select(F.concat(F.lit("conversations/"), "doc_id").alias("destination"), F.col("n_chars").alias("bytes"))
-    pages = table(spark, d, "pages").select(F.concat(F.lit("metadata/"), "page_id", F.lit(".json")).alias("destination"), F.char_length("html").cast("long").alias("bytes"))
-    return docs.unionByName(pages)
-
-
 # --- JSON ------------------------------------------------------------------------------------
 
 
@@ -328,18 +304,10 @@ def schema_paths(spark, d):
     return sample.schema_paths(sample.sampled(rows)).select("path", F.array_join("types", ",").alias("types"))
 
 
-@query("SELECT conv_id, turn, 'file_id' AS kind, sha256('[\"reference\",\"file-' || conv_id || '\"]') AS reference_digest FROM conversations WHERE role = 'user'")
-def references(spark, d):
-    """References in messages made of user turns."""
-    from ..operators.conversations import references as found
-
-    @F.pandas_udf("array<struct<kind: string, reference_digest: string>>")
-    def refs(ids):
-        return ids.map(lambda i: [{"kind": kind, "reference_digest": D.digest(["reference", v])} for _, kind, v in found({"metadata": {"attachments": [{"file_id": f"file-{i}", "name": "x"}], "note": "y"}})])
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return structural_summary(spark, d)
 
-    users = table(spark, d, "conversations").where("role = 'user'")
-    return users.select("conv_id", "turn", F.inline(refs("conv_id")))
 
+from . import archive_queries, index_queries  # noqa: E402
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return structural_summary(spark, d)
+__all__ = ["ORACLE", "QUERIES", "archive_queries", "flagship", "index_queries"]

@@ -46,14 +46,10 @@ def directory_digest(archive: Path) -> str:
 def directory_matches(spark: SparkSession, archive: Path, entries: list[dict]) -> None:
     """The archive's directory and an inventory's entries agree row by row: nothing is on one side only."""
     now = I.members_of(spark, str(archive))
-    columns = ["zip_directory_index", "path_sha256", "uncompressed_bytes", "compressed_bytes", "crc32", "compression_method", "zip_timestamp"]
+    columns = ["zip_directory_index", *discovery.IDENTITY]
     then = spark.createDataFrame([tuple(e[c] for c in columns) for e in entries], "zip_directory_index int, path_sha256 string, uncompressed_bytes long, compressed_bytes long, crc32 string, compression_method int, zip_timestamp array<int>")
     need(now.count() == len(entries), "DIRECTORY_COUNT")
-    both = now.select(columns).alias("a").join(then.alias("b"), "zip_directory_index", "full")
-    same = F.lit(True)
-    for c in columns[1:]:
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    need(both.where(~same).isEmpty(), "DIRECTORY_IDENTITY")
+    need(discovery.directory_differences(now, then).isEmpty(), "DIRECTORY_IDENTITY")
 
 
 def _copied(archive: str, ordinal: int, target: Path, size: int, crc32: str) -> tuple[int, str, str]:

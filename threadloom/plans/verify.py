@@ -41,7 +41,10 @@ def checks(spark: SparkSession, ws: Workspace) -> list[tuple[str, bool]]:
     payload = [e for e in entries if e["extension"] in (".dat", ".bundle") and not e["is_directory"] and RISK_ENCRYPTED not in e["risk_flags"]]
     source = Path(inv["source_path"])
     now = source.stat() if source.exists() else None
-    plan = discovery.staging_plan(I.members_of(spark, str(source))).agg(F.count("*"), F.sum("uncompressed_bytes")).first() if now else (None, None)
+    plan = (None, None)
+    if now:
+        members = I.members_of(spark, str(source))
+        plan = discovery.selected(members, discovery.staging_plan(members)).agg(F.count("*"), F.sum("uncompressed_bytes")).first()
     by_hand = [e for e in entries if e["extension"] == ".json" and not e["is_directory"]]
     found = [
         ("members reconcile", len(entries) == inv["member_count"]),

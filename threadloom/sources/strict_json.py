@@ -123,3 +123,48 @@ def array_items(chunks: Iterable[bytes], framer: ArrayFramer | None = None, deco
 
 def file_chunks(stream, size: int = 65_536) -> Iterator[bytes]:
     return iter(lambda: stream.read(size), b"")
+
+
+def outcome(raw: bytes, max_bytes: int = MAX_ELEMENT_BYTES, size: int = 65_536) -> tuple[int, str | None]:
+    """How many elements an array's text gives, and the code that stops it, if any."""
+    n = 0
+    try:
+        for _ in array_items((raw[k : k + size] for k in range(0, len(raw), size)), ArrayFramer(max_bytes)):
+            n += 1
+    except JsonError as e:
+        return n, str(e)
+    return n, None
+
+
+def scanned(rows, text: str, cap: str | None = None):
+    """``rows`` with ``elements`` and ``code`` of the JSON array in a string or binary column; ``cap`` names a column of limits."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            caps = b[cap].to_pylist() if cap else [None] * b.num_rows
+            found = [outcome(x or b"", c or MAX_ELEMENT_BYTES) for x, c in zip(b[text].cast(pa.large_binary()).to_pylist(), caps)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], names=[*b.schema.names, "elements", "code"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("elements", T.LongType()), T.StructField("code", T.StringType())]))
+
+
+def loaded(rows, text: str):
+    """``rows`` with ``code`` of the JSON document in a string or binary column: null where it is strictly valid."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    def code(raw: bytes) -> str | None:
+        try:
+            load(raw)
+        except JsonError as e:
+            return str(e)
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [code(x or b"") for x in b[text].cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*b.schema.names, "code"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("code", T.StringType())]))
