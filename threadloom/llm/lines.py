@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._sql import WHITE, ascii_lower, partitions
+from ._sql import WHITE, ascii_lower, met, partitions
 from ._store import stored
 
 MIN_CHARS = 10
@@ -69,10 +69,10 @@ def _positions(bitmap: Column) -> Column:
 
 
 def with_kept(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with ``__n_lines``, ``__n_dropped`` and ``__kept``, the remaining text. Text moves once, to meet its bitmap."""
+    """``docs`` with ``__n_lines``, ``__n_dropped`` and ``__kept``, the remaining text. Only texts that lose lines move, to meet their bitmap."""
     found = drop_bitmaps(docs, min_chars).select(F.col("doc").alias("__doc"), F.col("own").alias("__own"), F.col("n_dropped").alias("__n_dropped"), F.col("bitmap").alias("__bitmap"))
     on = (F.coalesce("doc_id", F.lit(LAST)) == F.col("__doc")) & (F.xxhash64("text") == F.col("__own"))
-    both = docs.join(found.hint("shuffle_hash"), on, "left").withColumn("__lines", _split(F.col("text")))
+    both = met(docs, F.xxhash64("text"), stored(found, "bitmaps"), on, "__own", "left").withColumn("__lines", _split(F.col("text")))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), _positions(F.col("__bitmap")))
     kept = F.when(F.col("__bitmap").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("__lines"), i)), "\n"))
     out = both.withColumn("__n_lines", F.size("__lines").cast("long")).withColumn("__kept", kept)
