@@ -6,10 +6,12 @@ hashes its window in generated code and probes that table; a hit is verified by
 comparing the words. Hits become disjoint spans of words per document, which can be
 cut, or reject the document.
 
-Scale: the only shuffle has a row per document and per hit, not per word. The table
-of windows is broadcast when its measured size is at most ``BROADCAST_BYTES``; beyond,
-the same join shuffles by window hash. Overlapping hits are merged by a window over one
-document's hits in order of position, which can spill.
+Scale: the table of windows is broadcast when its measured size is at most
+``BROADCAST_BYTES``; then the only shuffle has a row per document and per hit, not per
+word. Beyond, a bitmap of the windows' hashes, of a fixed size, is broadcast instead, and
+only positions that it lets pass are shuffled to meet the table, each with its own window's
+words. Overlapping hits are merged by a window over one document's hits in order of
+position, which can spill.
 
 Edge cases: null or empty texts have no words and no hits; items without words are
 ignored; items with one id count as one item, a null id as ''; repeated rows of
@@ -20,10 +22,12 @@ columns are kept by ``cleaned``.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._sql import WORD, ascii_lower
+from ._sql import WORD, ascii_lower, bitmap, marked, met
 from ._store import stored
 
 WINDOW = 13
@@ -54,7 +58,7 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return passages.select(key.alias("key"), "length", "passage", "items")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, text_hash, n_words, first, from_, to, items): a row for each hit, and one with null ``from_`` for each document.
 
     ``first`` marks one row of each row of ``docs``. Hashes are of words lower-cased by
@@ -75,21 +79,28 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
         at = at.withColumn("n", F.lit(lengths[0])).withColumn("probe", probe(lengths[0]))
     else:
         at = at.select("*", F.inline(F.array(*(F.struct(F.lit(n).alias("n"), probe(n).alias("probe")) for n in lengths))))
-    right = F.broadcast(table) if held <= BROADCAST_BYTES else table
-    same = F.translate(F.array_join(F.slice("raw", F.col("at") + 1, F.col("n")), " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") == F.col("passage")
-    # not part of the join's condition: as a join key, the words would be put together at every position
-    both = at.join(right, (F.col("probe") == F.col("key")) & (F.col("n") == F.col("length")), "left")
+    said = F.translate(F.array_join(F.slice("raw", F.col("at") + 1, F.col("n")), " "), ascii_uppercase, ascii_lowercase)
     first = (F.coalesce(F.col("at"), F.lit(0)) == 0) & (F.col("n") == lengths[0])
+    if held > broadcast_bytes:
+        seen = marked(at.where(F.col("probe").isNotNull() | first), F.col("probe"), bitmap(table, "key"), "near").withColumn("first", first).where("first OR near")
+        seen = stored(seen.select("doc_id", "text_hash", "n_words", "first", "near", "at", "n", "probe", F.when(F.col("near"), said).alias("said")), "probes")
+        both = seen.where("near").join(table, (F.col("probe") == F.col("key")) & (F.col("n") == F.col("length")) & (F.col("said") == F.col("passage")))
+        found = both.select("doc_id", "text_hash", "n_words", F.lit(False).alias("first"), F.col("at").alias("from_"), (F.col("at") + F.col("n")).alias("to"), "items")
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        return found.unionByName(seen.where("first").select("doc_id", "text_hash", "n_words", "first", none("int", "from_"), none("int", "to"), none("array<string>", "items")))
+    same = said == F.col("passage")
+    # not part of the join's condition: as a join key, the words would be put together at every position
+    both = at.join(F.broadcast(table), (F.col("probe") == F.col("key")) & (F.col("n") == F.col("length")), "left")
     both = both.withColumn("first", first).withColumn("hit", F.when(F.col("key").isNotNull(), same).otherwise(False)).where(F.col("first") | F.col("hit"))
     hit = F.col("hit")
     return both.select("doc_id", "text_hash", "n_words", "first", F.when(hit, F.col("at")).alias("from_"), F.when(hit, F.col("at") + F.col("n")).alias("to"), F.when(hit, F.col("items")).alias("items"))
 
 
-def spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, percent: int = PERCENT) -> DataFrame:
+def spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, percent: int = PERCENT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A row for each (doc_id, text): n_words, n_hit, spans of hit words, items, contaminated and how many copies of the row there are."""
     order = Window.partitionBy("doc_id", "text_hash").orderBy("from_", "to")
     before = F.coalesce(F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    seen = hits(docs, benchmark, size).withColumn("before", before)
+    seen = hits(docs, benchmark, size, broadcast_bytes).withColumn("before", before)
     fresh = F.greatest(F.col("to") - F.greatest("from_", "before"), F.lit(0))
     seen = seen.withColumn("fresh", F.when(F.col("from_").isNotNull(), fresh).otherwise(0))
     out = seen.groupBy("doc_id", "text_hash").agg(
@@ -102,9 +113,9 @@ def spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, percent: in
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
 
 
-def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A row for each row of ``docs``."""
-    out = spans(docs, benchmark).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    out = spans(docs, benchmark, broadcast_bytes=broadcast_bytes).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
@@ -112,8 +123,8 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, percent:
     """``docs`` without contaminated documents; from the others, hit words are cut with the separators after them."""
     found = spans(docs, benchmark, size, percent).where(F.col("n_hit") > 0)
     found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"), F.col("contaminated").alias("__gone"))
-    here = docs.withColumn("__own", F.xxhash64("text"))
-    both = here.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    both = met(docs, F.xxhash64("text"), stored(found, "spans"), on, "__hash", "left")
     words, gaps = _words(F.col("text")), F.split("text", WORD, -1)
     hit = F.flatten(F.transform("__spans", lambda s: F.sequence(s["from_"], s["to"] - 1)))
     kept = F.array_except(F.sequence(F.lit(0), F.size(words) - 1), hit)
