@@ -233,3 +233,46 @@ def test_tiles_of_a_bucket(spark, monkeypatch):
         monkeypatch.setattr(J, "BLOCK", block)
         monkeypatch.setattr(J, "TILE", tile)
         assert {tuple(x) for x in J.compared(members, mixed, known, 80).collect()} == expected
+
+
+def test_shards_are_balanced_whatever_the_ids(spark):
+    """Ids far from the others, many of one id, and nulls: shards ascend with the id and hold no more than their bytes, but for one id's rows."""
+    from threadloom.llm._shards import by_shard, range_sharded
+
+    ids = [*range(0, 4000, 2), 2**62, -(2**63), *[77] * 50, None, None, *(2**40 + k for k in range(500)), *(2**20 * k for k in range(300))]
+    df = spark.createDataFrame([(i, 100) for i in ids], "id long, size long").repartition(5)
+    sharded, n = range_sharded(df, "id", "size", 1000)
+    rows = [tuple(r) for r in sharded.select("__shard", "id").collect()]
+    assert sorted((i is None, i or 0) for _, i in rows) == sorted((i is None, i or 0) for i in ids)
+    by = {}
+    for s, i in rows:
+        by.setdefault(s, []).append(2**63 - 1 if i is None else i)
+    assert sorted(by) == list(range(n)) and all(max(by[s]) < min(by[s + 1]) for s in range(n - 1))
+    assert all(len(x) <= 10 or len(set(x)) == 1 for x in by.values()) and n < 2.5 * len(ids) / 10
+    assert by_shard((sharded, n), "id").rdd.getNumPartitions() == n
+    assert {tuple(r) for r in range_sharded(df.repartition(2), "id", "size", 1000)[0].select("__shard", "id").collect()} == set(rows)
+
+
+def test_decontamination_without_broadcast(spark, edge):  # noqa: F811
+    from threadloom.llm import decontaminate
+
+    for folder in (edge, "/root/testdata/sf0.001"):
+        docs, bench = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "benchmark"))
+        expected = brute.op3(rows(spark, folder, "documents", "doc_id", "text"), rows(spark, folder, "benchmark", "item_id", "text"))
+        got = {r[0]: tuple(r[1:]) for r in decontaminate.report(docs, bench, broadcast_bytes=0).collect()}
+        assert got == expected
+
+
+def test_bitmaps_rule_out_only_what_is_not_there(spark):
+    from pyspark.sql import functions as F
+
+    from threadloom.llm._sql import bitmap, marked, met
+    from threadloom.llm._store import stored
+
+    docs = spark.range(5000).select(F.col("id"), F.xxhash64("id").alias("h"))
+    found = stored(docs.where("id % 97 = 3").select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.lit("x").alias("__what")), "found")
+    seen = marked(docs, F.col("h"), bitmap(found, "__h"), "near")
+    assert seen.where("near AND id % 97 = 3").count() == found.count() and seen.where("near").count() < 100
+    left = met(docs, F.col("h"), found, F.col("id") == F.col("__id"), "__h", "left")
+    assert left.count() == 5000 and left.where("__what = 'x'").count() == found.count()
+    assert met(docs, F.col("h"), found, F.col("id") == F.col("__id"), "__h", "left_anti").count() == 5000 - found.count()

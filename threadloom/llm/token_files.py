@@ -201,7 +201,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, sh
     """Writes the ids of ``docs`` (doc_id, text) to ``folder``; the manifest of its files."""
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sharded = range_sharded(rows.withColumn("held", F.octet_length("text") + 8), "doc_id", "held", shard_bytes)
-    ordered = by_shard(sharded.withColumn("own", F.xxhash64("text")), "doc_id", "own").select("__shard", "doc_id", "text")
+    ordered = by_shard((sharded[0].withColumn("own", F.xxhash64("text")), sharded[1]), "doc_id", "own").select("__shard", "doc_id", "text")
 
     def save(shard: int, part: int, ids: list[int], counts: list[int], tokens: list[np.ndarray], token: str) -> tuple:
         data = pack(ids, counts, np.concatenate(tokens))
@@ -249,7 +249,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     # one row for each file: few, and numbers only
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.withColumn("before", before).select("name", "before")
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, manifest.count())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = filesystem(folder)

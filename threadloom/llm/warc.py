@@ -165,7 +165,7 @@ def parsed(record: bytes) -> tuple[dict[str, str], bytes]:
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each page record; a response's payload is digested again."""
-    n = partitions(manifest)
+    n = max(1, manifest.count())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = filesystem(folder)
