@@ -51,3 +51,54 @@ def test_doublings_have_no_bound(spark):
     # more doublings than one plan could hold
     got = forest.cycles(linked, steps=21).agg(F.count("*"), F.countDistinct("cycle")).first()
     assert tuple(got) == (300, 1)
+
+
+def test_all_pages_are_their_articles():
+    """Footers of short articles with unclosed markup stay out: all pages of sf0.1."""
+    import html
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["html"])["html"].to_pylist()
+    blocks = re.compile(r"<(?:br|/?p|/?h1)>")
+    for page, text in zip(pages, html_text.texts(pages, html_text.model())):
+        story = blocks.sub(" ", re.search(r"<article>(.*?)</article>", page, re.S)[1])
+        assert text == re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>", "", story))).strip()
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    from threadloom.llm import dom
+
+    kinds = [lambda n: "<a " * n, lambda n: "<b>" * n, lambda n: "<div>" * n + "</span>" * n, lambda n: "<span><table>" + "<div>" * n + "</span>" * n, lambda n: "<p><b>" * n, lambda n: "<!-" * n, lambda n: "<a b='" * n, lambda n: "< " * n, lambda n: "<p title=\"x>" * n]
+    for made in kinds:
+        took = []
+        for n in (20_000, 80_000):
+            began = time.perf_counter()
+            dom.parse(made(n))
+            took.append(time.perf_counter() - began)
+        assert took[1] < 10 * took[0] + 0.5, (made(1), took)
+
+
+def test_unclosed_quotes_are_no_text():
+    from threadloom.llm import dom
+
+    root, nodes = dom.parse('<article><p title="x>one <b>two</b> & three</p></article>')
+    assert dom.text_of(root, lambda n: True) == "one two & three"
+    root, _ = dom.parse("<p>one</p><p title='two' hidden class=a-b data-x>three</p><p>four</p><a href=")
+    assert dom.text_of(root, lambda n: dom.UNSEEN not in n.tokens) == "one four"
+
+
+def test_nesting():
+    from threadloom.llm import dom
+
+    def shape(x):
+        return x if isinstance(x, str) else [x.tag, *map(shape, x.children)]
+
+    assert shape(dom.parse("<ul><li>a<b>c<li>d</ul>e")[0]) == ["#root", ["ul", ["li", "a", ["b", "c"]], ["li", "d"]], "e"]
+    assert shape(dom.parse("<p>a<b>b<p>c</b></p>d</p>")[0]) == ["#root", ["p", "a", ["b", "b"]], ["p", "c"], "d", "\n"]
+    assert shape(dom.parse("<div><table><tr><td>a<td>b<tr><td>c</div>d</table>e")[0]) == ["#root", ["div", ["table", ["tr", ["td", "a"], ["td", "b"]], ["tr", ["td", "c", "d"]]], "e"]]
+    assert shape(dom.parse("<ul><li><p>a<li><p>b<b>c</ul>d")[0]) == ["#root", ["ul", ["li", ["p", "a"]], ["li", ["p", "b", ["b", "c"]]]], "d"]
+    assert shape(dom.parse("<p>a<div>b</p>c<script><p></script>")[0]) == ["#root", ["p", "a"], ["div", "b", "\n", "c", ["script"]]]

@@ -69,8 +69,8 @@ def features(nodes: list[Node]) -> np.ndarray:
     """A row for each node."""
     n = len(nodes)
     own, chars, links, tags, kids, blocks = (np.zeros(n) for _ in range(6))
-    own_hint, near = np.zeros((n, len(HINTED))), np.zeros((n, len(HINTED)))
-    group, order, siblings, first_text = np.zeros((n, N_GROUPS)), np.zeros(n), np.ones(n), np.zeros(n)
+    own_hint, near = np.zeros((n, len(HINTED)), np.float32), np.zeros((n, len(HINTED)), np.float32)
+    group, order, siblings = np.zeros((n, N_GROUPS), np.float32), np.zeros(n), np.ones(n)
     main_inside = np.zeros(n)
     for i, x in enumerate(nodes):
         own[i] = sum(len(c.strip()) for c in x.children if isinstance(c, str)) if x.tag not in HIDDEN else 0
@@ -98,7 +98,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     parent = np.array([x.parent.index if x.parent else 0 for x in nodes])
     total, depth = max(chars[0], 1), np.array([x.depth for x in nodes])
     columns = [np.log1p(own), np.log1p(chars), chars / total, chars / np.maximum(chars[parent], 1), links / np.maximum(chars, 1), links[parent] / np.maximum(chars[parent], 1), np.log1p(chars / (1 + tags)), np.log1p(kids), np.log1p(blocks), depth, order / siblings, np.log1p(siblings), main_inside, (near[:, HINTED.index("main")] > 0) * 1.0]
-    return np.column_stack([*columns, own_hint, np.minimum(near, 1), group])
+    return np.concatenate([np.column_stack(columns).astype(np.float32), own_hint, np.minimum(near, 1), group], 1)
 
 
 def decode(nodes: list[Node], logit: np.ndarray) -> np.ndarray:
@@ -177,9 +177,10 @@ def _junk(r: random.Random) -> str:
 
 def _story(r: random.Random) -> str:
     parts = [f"<h1>{_words(r, r.randint(2, 12))}</h1>"] * r.randint(0, 1)
-    for _ in range(r.randint(1, 14)):
-        kind = r.random()
-        text = _words(r, r.choice([1, 2, 5, 12, 30, 80, 150]))
+    small = r.random() < 0.35  # pages whose menus and footers outweigh them
+    for _ in range(r.randint(1, 2) if small else r.randint(1, 14)):
+        kind = r.random() * (0.7 if small else 1)
+        text = _words(r, r.choice([1, 2, 3, 5, 9] if small else [1, 2, 5, 12, 30, 80, 150]))
         if kind < 0.7:
             parts.append(r.choice([f"<p>{text}</p>", f"<p><b>{text}<br><p>{_words(r, 20)}</p>", f"<p>{text} <a href='/q'>{_words(r, 2)}</a> {_words(r, 9)}</p>", f"<p><em>{text}</em></p>", f"<p>{text}"]))
         elif kind < 0.78:
@@ -213,14 +214,12 @@ def made_page(r: random.Random) -> str:
 
 def labelled(page: str) -> tuple[list[Node], np.ndarray, np.ndarray]:
     """Nodes of a made page, which are main text, and weights; labels pass down the tree."""
-    marks = dict(enumerate(_label_marks(page)))
     _, nodes = parse(page)
     y, w = np.zeros(len(nodes)), np.ones(len(nodes))
     for i, x in enumerate(nodes):
-        mark = marks.get(i)
         inherited = y[x.parent.index] if x.parent else 0.0
-        y[i] = {"main": 1.0, "junk": 0.0, None: inherited}[mark]
-        if x.parent and mark is None and x.parent.tag in ("#root", "html", "body"):
+        y[i] = {"main": 1.0, "junk": 0.0, None: inherited}[x.mark]
+        if x.parent and x.mark is None and x.parent.tag in ("#root", "html", "body"):
             y[i] = 0.0
         if x.tag in HIDDEN:
             w[i] = 0.0
@@ -230,20 +229,6 @@ def labelled(page: str) -> tuple[list[Node], np.ndarray, np.ndarray]:
     return nodes, y, w
 
 
-def _label_marks(page: str) -> list[str | None]:
-    from .dom import TOKEN
-
-    out, at, raw = [None], 0, {"script": "</script", "style": "</style", "title": "</title", "textarea": "</textarea", "iframe": "</iframe"}
-    while m := TOKEN.search(page, at):
-        at = m.end()
-        if m[3] and not m[2]:
-            mark = "main" if 'data-label="main"' in m[4] else "junk" if 'data-label="junk"' in m[4] else None
-            out.append(mark)
-            if m[3].lower() in raw:
-                at = page.index(">", page.index(raw[m[3].lower()], at)) + 1
-    return out
-
-
 @cache
 def model(pages: int = PAGES, seed: int = SEED) -> trees.Forest:
     r = random.Random(seed)
@@ -254,16 +239,30 @@ def model(pages: int = PAGES, seed: int = SEED) -> trees.Forest:
     return trees.fit(np.concatenate([a for a, _, _ in rows]), np.concatenate([b for _, b, _ in rows]), np.concatenate([c for _, _, c in rows]))
 
 
-def texts(pages: list[str | None], forest: trees.Forest, at_once: int = 64) -> list[str]:
-    out = []
-    for k in range(0, len(pages), at_once):
-        trees_ = [parse(p or "") for p in pages[k : k + at_once]]
-        logit = forest.logit(np.concatenate([features(nodes) for _, nodes in trees_]))
-        at = 0
-        for root, nodes in trees_:
+#: Elements whose features are held at once; a page with more is evaluated by itself.
+NODES = 50_000
+
+
+def texts(pages: list[str | None], forest: trees.Forest) -> list[str]:
+    out, held, n = [], [], 0
+
+    def flush() -> None:
+        at, logit = 0, forest.logit(np.concatenate([features(nodes) for _, nodes in held]))
+        for root, nodes in held:
             keep = decode(nodes, logit[at : at + len(nodes)])
             at += len(nodes)
             out.append(text_of(root, lambda x: keep[x.index]))
+        held.clear()
+
+    for page in pages:
+        tree = parse(page or "")
+        if held and n + len(tree[1]) > NODES:
+            flush()
+            n = 0
+        held.append(tree)
+        n += len(tree[1])
+    if held:
+        flush()
     return out
 
 
