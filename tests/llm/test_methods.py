@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.01"
 
 def _shape(path):
     out = []
-    for s in [x for x in path.split("/") if x][: urls.DEPTH]:
+    for s in [x for x in path.split("/") if x]:
         ending = (re.search(r"(\.[A-Za-z]{1,5})$", s) or [""])[0]
         out.append("#" + ending if re.search(r"^[0-9]+(\.[A-Za-z]{1,5})?$", s) else "*" + ending if re.search("[0-9]", s) or len(s) > 24 else s)
     return tuple(out)
@@ -32,36 +32,47 @@ def _templates(pages):
     labelled = sum(x[2] for h in hosts.values() for x in h)
     blocked = sum(x[2] and x[3] for h in hosts.values() for x in h)
     share, out = blocked / max(1, labelled), {}
+    drawn = lambda b, l, to: (b + urls.WEIGHT * to) / (l + urls.WEIGHT)  # noqa: E731, E741
+    kin = lambda s: "?" if re.fullmatch("[A-Za-z]{1,3}", s) else "*"
     for host, mine in hosts.items():
-        seen = Counter((k, s) for _, shape, _, _ in mine for k, s in enumerate(shape))
-        wild = lambda s: s[:1] in "#*"
-        general = {i: tuple(s if wild(s) or seen[k, s] >= urls.MIN_SHARE * len(mine) else "*" for k, s in enumerate(shape)) for i, shape, _, _ in mine}
+        shape = {i: s for i, s, _, _ in mine}
         label = {i: (a, a and b) for i, _, a, b in mine}
-        template = {i: () for i in general}
-        for level in range(max(map(len, general.values()), default=0)):
+        tally = lambda own: (sum(label[i][0] for i in own), sum(label[i][1] for i in own))  # noqa: E731, B023
+        template = {i: () for i in shape}
+        for level in range(max(map(len, shape.values()), default=0)):
             places = defaultdict(list)
-            for i in general:
-                places[template[i]].append(i)
-            for here in places.values():
-                seg = {i: general[i][level] if level < len(general[i]) else None for i in here}
-                follow = {i: general[i][level + 1] if level + 1 < len(general[i]) else "/" for i in here}
-                every, L, B = Counter(follow.values()), sum(label[i][0] for i in here), sum(label[i][1] for i in here)
+            for i in shape:
+                if level < len(shape[i]):
+                    places[template[i]].append(i)
+            for at, here in places.items():
+                seg = {i: shape[i][level] for i in here}
+                ends = any(template[i] == at and len(shape[i]) == level for i in shape)
+                follow = {i: shape[i][level + 1] if level + 1 < len(shape[i]) else "/" for i in here}
+                named, first = {}, {}
                 for s in set(seg.values()):
-                    own = [i for i in here if seg[i] == s]
-                    if s is None:
+                    first[s] = max((n, f) for f, n in Counter(follow[i] for i in here if seg[i] == s).items())[1]
+                for s in set(seg.values()):
+                    named[s] = s
+                    if s[:1] in "#*" or (len(set(seg.values())) == 1 and not ends):
+                        continue
+                    own, kind = [i for i in here if seg[i] == s], [i for i in here if seg[i][:1] not in "#*" and (kin(seg[i]), first[seg[i]]) == (kin(s), first[s])]
+                    if len(own) == len(kind):
                         continue
-                    mix, a, b = Counter(follow[i] for i in own), sum(label[i][0] for i in own), sum(label[i][1] for i in own)
-                    apart = sum(abs(n / len(own) - every[f] / len(here)) for f, n in mix.items()) / 2
-                    near = a > 0 and abs(b / a - B / L) <= 1.96 * math.sqrt(B / L * (1 - B / L) * (1 / a + 1 / L)) + 1e-9
-                    name = s if wild(s) else "*" if len(set(seg.values())) > 1 and near and apart <= urls.ALIKE else s
-                    for i in own:
-                        template[i] += (name,)
-        hl, hb = sum(a for a, _ in label.values()), sum(b for _, b in label.values())
-        prior = (hb + urls.WEIGHT * share) / (hl + urls.WEIGHT)
+                    mix, every = Counter(follow[i] for i in own), Counter(follow[i] for i in kind)
+                    apart = sum(abs(n / len(own) - every[f] / len(kind)) for f, n in mix.items()) / 2
+                    (a, b), (L, B) = tally(own), tally(kind)
+                    near = a == 0 or abs(b / a - B / L) <= 1.96 * math.sqrt(B / L * (1 - B / L) * (1 / a + 1 / L)) + 1e-9
+                    if near and apart <= urls.ALIKE:
+                        named[s] = kin(s)
+                for i in here:
+                    template[i] += (named[seg[i]],)
+        hl, hb = tally(shape)
+        of_host = drawn(hb, hl, share)
         for t in set(template.values()):
+            up_l, up_b = tally([i for i in template if template[i][:-1] == t[:-1]])
             own = [i for i in template if template[i] == t]
-            a, b = sum(label[i][0] for i in own), sum(label[i][1] for i in own)
-            purity = (b + urls.WEIGHT * prior) / (a + urls.WEIGHT)
+            a, b = tally(own)
+            purity = drawn(b, a, drawn(up_b, up_l, of_host))
             for i in own:
                 out[i] = ("/" + "/".join(t), round(purity, 6), judged[i][3] or ("block" if purity >= urls.REJECT and a >= urls.MIN_LABELLED else "allow"))
     return out

@@ -14,13 +14,25 @@ def _urls(spark, *groups):
 
 
 def test_rare_branches_are_tested_like_others(spark):
-    got = _urls(spark, ("/en/{}", 60), ("/es/{}", 20), ("/fr/{}", 18), ("/about/{}", 1), ("/contact/{}", 1))
-    assert got == {("en", "/en/#", "allow"), ("es", "/*/#", "block"), ("fr", "/*/#", "block"), ("about", "/about/#", "allow"), ("contact", "/contact/#", "allow")}
+    """Language codes are of one form with labelled ones, however rare or frequent; other sections are not."""
+    got = _urls(spark, ("/en/{}", 60), ("/es/{}", 20), ("/fr/{}", 18), ("/it/{}", 1), ("/about/{}", 1), ("/contact/{}", 1))
+    assert {x for x in got if x[0] in ("about", "contact")} == {("about", "/*/#", "allow"), ("contact", "/*/#", "allow")}
+    assert {x for x in got if x[0] not in ("about", "contact")} == {(x, "/?/#", "block") for x in ("en", "es", "fr", "it")}
+
+
+def test_planted_branches(spark):
+    """Unlabelled branches of the form of labelled spam are rejected, clean ones of another form are kept."""
+    spam = [(f"/{x}/cheap/{{}}/buy", 12) for x in ("es", "fr", "it", "pt", "xx", "nl")]
+    clean = [("/en/news/{}", 40), ("/de/news/{}", 30), ("/cs/{}", 9), ("/docs/{}/cheap", 25), ("/help", 1), ("/{}", 50)]
+    rows = [(k, f"http://shop.net{path.format(10 * k)}") for path, n in spam + clean for k in range(n)]
+    got = urls.judged(spark.createDataFrame([(i, u) for i, (_, u) in enumerate(rows)], "page_id long, url string"), "page_id", "url").collect()
+    planted = [r["verdict"] for r in got if "/cheap/" in r["url"]]
+    assert planted.count("block") >= 0.9 * len(planted) and {r["verdict"] for r in got if "/cheap/" not in r["url"]} == {"allow"}
 
 
 def test_paths_count_to_their_ends(spark):
     got = _urls(spark, ("/es/a/b/c/d/e/x", 30), ("/fr/a/b/c/d/e/x", 30), ("/u{}/a/b/c/d/e/y", 200))
-    assert {(t, v) for _, t, v in got} == {("/*/a/b/c/d/e/*", "block"), ("/*/a/b/c/d/e/y", "allow")}
+    assert {(t, v) for _, t, v in got} == {("/?/a/b/c/d/e/x", "block"), ("/*/a/b/c/d/e/y", "allow")}
 
 
 def test_article_of_utility_classes_stays():

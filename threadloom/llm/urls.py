@@ -2,12 +2,15 @@
 
 A rule's verdict comes first. For the other URLs, the paths of each host make a tree:
 segments that hold digits become the wildcards `#` (digits alone) or `*`; of the other
-segments, level by level, sibling branches that are statistically alike become `*`, rare
-ones by the same test as others (the same share of blocked URLs by a two-proportion test
-against all siblings, and a similar mix of what follows). A template is rejected when rules have
-labelled at least ``MIN_LABELLED`` of its URLs and the smoothed share of blocked ones
-among these reaches ``REJECT``; smoothing
-draws it to the share of its host, and that to the share of all.
+segments, level by level, sibling branches that are statistically alike become a wildcard too,
+rare ones by the same test as others. Siblings are alike that have the same shape (short codes,
+`?`, or words, `*`) and mostly the same follower, a similar mix of what follows, and, where rules have labelled some of a
+branch's URLs, the same share of blocked ones by a two-proportion test against all siblings of
+its shape. So a template holds labelled and unlabelled URLs of one form. It is rejected when
+rules have labelled at least ``MIN_LABELLED`` of its URLs and the smoothed share of blocked
+ones reaches ``REJECT``; smoothing draws it to the share under its parent, that to its host's,
+and that to the share of all, each by ``WEIGHT`` URLs against its own evidence. A template
+without such evidence of its own is allowed: what is known of its host alone rejects nothing.
 
 Scale: URLs are first counted by (host, shape) with map-side combining. A place's sums are
 such counts too, of all its branches, then of the place: no window holds a host's or a
@@ -15,7 +18,7 @@ place's rows, however many literal segments it has. Sums and verdicts return by
 whose large partitions Spark can split. Only the id and the URL are read.
 
 Edge cases: a null URL, or one without `://`, has an empty host and path and, like
-unlabelled templates, is allowed; paths count to their ends, however deep; repeated rows
+templates without labels, is allowed; paths count to their ends, however deep; repeated rows
 each come back; an empty table gives no rows.
 """
 
@@ -29,8 +32,6 @@ from ._store import stored
 
 #: Verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: No segment is too rare to be a branch of its own, and none too deep (``None``: all of a path).
-MIN_SHARE, DEPTH = 0, None
 ALIKE, WEIGHT, REJECT, MIN_LABELLED = 0.2, 2.0, 0.8, 3
 
 
@@ -59,6 +60,11 @@ def shape(path: Column) -> Column:
     return F.transform(segments, lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]{1,5})?$"), F.concat(F.lit("#"), ending(s))).when(s.rlike("[0-9]") | (F.char_length(s) > 24), F.concat(F.lit("*"), ending(s))).otherwise(s))
 
 
+def kin(seg: Column) -> Column:
+    """The form of a literal segment, which is also the wildcard of alike ones."""
+    return F.when(seg.rlike("^[A-Za-z]{1,3}$"), "?").otherwise("*")
+
+
 def templates(counted: DataFrame) -> DataFrame:
     """(host, shape, template, purity, seen) from counts (n, labelled, blocked) by host and shape.
 
@@ -77,23 +83,24 @@ def templates(counted: DataFrame) -> DataFrame:
         place = place.select("host", "under", (F.array_position(F.zip_with("least", "most", lambda a, b: a.eqNullSafe(b)), False) - 1).cast("int").alias("common"))
         at = stored(known.join(place, ["host", "under"]), "places")
         done.append(at.where("common < 0").select("host", "shape", below(F.col("under"), F.col("rest")).alias("template"), "labelled", "blocked"))
-        at = at.where("common >= 0").withColumn("under", below(F.col("under"), F.slice("rest", F.lit(1), F.col("common")))).withColumn("seg", F.get("rest", F.col("common")))
+        at = at.where("common >= 0").withColumn("under", below(F.col("under"), F.slice("rest", F.lit(1), F.greatest("common", F.lit(0))))).withColumn("seg", F.get("rest", F.col("common")))
         done.append(at.where("seg IS NULL").select("host", "shape", F.col("under").alias("template"), "labelled", "blocked"))
         at = at.withColumn("follow", F.coalesce(F.get("rest", F.col("common") + 1), F.lit("/")))
-        # sums by branch and follower, and of these by branch, by follower and of all; an empty segment is where paths end
-        mix = stored(at.groupBy("host", "under", F.coalesce("seg", F.lit("")).alias("seg"), "follow").agg(*sums), "mixes")
-        branch = mix.groupBy("host", "under", "seg").agg(*sums)
-        every = mix.groupBy("host", "under", "follow").agg(F.sum("n").alias("every"))
-        whole = mix.groupBy("host", "under").agg(*sums).select("host", "under", *named("all"))
-        # a branch's mix of followers against all siblings'
-        both = mix.select("host", "under", "seg", "follow", F.col("n").alias("both")).where(~F.col("seg").rlike("^[#*]") & (F.col("seg") != ""))
-        both = both.join(branch.select("host", "under", "seg", *named("own")), ["host", "under", "seg"]).join(every, ["host", "under", "follow"]).join(whole, ["host", "under"])
+        # sums by branch and follower, and of these by branch, and by follower and in all of each form (shape and first follower); wildcards and ends of paths stay what they are
+        mix = stored(at.where(~F.col("seg").rlike("^[#*]")).groupBy("host", "under", "seg", "follow").agg(*sums), "mixes")
+        branch = mix.groupBy("host", "under", "seg").agg(*sums, F.max(F.struct("n", "follow"))["follow"].alias("lead"))
+        mix = mix.join(branch.select("host", "under", "seg", F.concat(kin(F.col("seg")), "lead").alias("kin")), ["host", "under", "seg"])
+        every = mix.groupBy("host", "under", "kin", "follow").agg(F.sum("n").alias("every"))
+        whole = mix.groupBy("host", "under", "kin").agg(*sums).select("host", "under", "kin", *named("all"))
+        # a branch's mix of followers against all siblings' of its form
+        both = mix.select("host", "under", "kin", "seg", "follow", F.col("n").alias("both"))
+        both = both.join(branch.select("host", "under", "seg", *named("own")), ["host", "under", "seg"]).join(every, ["host", "under", "kin", "follow"]).join(whole, ["host", "under", "kin"])
         apart = F.sum(F.abs(F.col("both") / F.col("own_n") - F.col("every") / F.col("all_n"))) / 2
-        tested = both.groupBy("host", "under", "seg", "own_labelled", "own_blocked", "all_labelled", "all_blocked").agg(apart.alias("apart"))
+        tested = both.where("own_n < all_n").groupBy("host", "under", "kin", "seg", "own_labelled", "own_blocked", "all_labelled", "all_blocked").agg(apart.alias("apart"))
         own, every_l = F.nullif("own_labelled", F.lit(0)), F.nullif("all_labelled", F.lit(0))
         p, q = F.col("own_blocked") / own, F.col("all_blocked") / every_l
         near = F.abs(p - q) <= 1.96 * F.sqrt(q * (1 - q) * (1 / own + 1 / every_l)) + 1e-9
-        alike = tested.where(F.coalesce(near, F.lit(False)) & (F.col("apart") <= ALIKE)).select("host", "under", "seg", F.lit("*").alias("name"))
+        alike = tested.where(F.coalesce(near, F.lit(True)) & (F.col("apart") <= ALIKE)).select("host", "under", "seg", kin(F.col("seg")).alias("name"))
         rest = F.slice("rest", F.col("common") + 2, F.size("rest"))
         known = at.where("seg IS NOT NULL").join(alike, ["host", "under", "seg"], "left")
         known = stored(known.select("host", "shape", rest.alias("rest"), F.concat("under", F.lit("/"), F.coalesce("name", "seg")).alias("under"), "n", "labelled", "blocked"), "branches")
@@ -103,9 +110,12 @@ def templates(counted: DataFrame) -> DataFrame:
     tree = tree.withColumn("template", F.when(F.col("template") == "", "/").otherwise(F.col("template")))
     every = counted.agg(F.sum("labelled").alias("all_l"), F.sum("blocked").alias("all_b")).first()
     share = (every["all_b"] or 0) / max(1, every["all_l"] or 0)
-    host = counted.groupBy("host").agg(((F.sum("blocked") + WEIGHT * share) / (F.sum("labelled") + WEIGHT)).alias("prior"))
-    pure = tree.groupBy("host", "template").agg(F.sum("blocked").alias("own_b"), F.sum("labelled").alias("seen")).join(host, "host")
-    pure = pure.select("host", "template", ((F.col("own_b") + WEIGHT * F.col("prior")) / (F.col("seen") + WEIGHT)).alias("purity"), "seen")
+    drawn = lambda blocked, labelled, to: (blocked + WEIGHT * to) / (labelled + WEIGHT)
+    host = counted.groupBy("host").agg(drawn(F.sum("blocked"), F.sum("labelled"), F.lit(share)).alias("of_host"))
+    own = tree.groupBy("host", "template").agg(F.sum("blocked").alias("own_b"), F.sum("labelled").alias("seen")).withColumn("parent", F.regexp_replace("template", "[^/]*$", ""))
+    parent = own.groupBy("host", "parent").agg(F.sum("own_b").alias("up_b"), F.sum("seen").alias("up_l")).join(host, "host")
+    parent = parent.select("host", "parent", drawn(F.col("up_b"), F.col("up_l"), F.col("of_host")).alias("of_parent"))
+    pure = own.join(parent, ["host", "parent"]).select("host", "template", drawn(F.col("own_b"), F.col("seen"), F.col("of_parent")).alias("purity"), "seen")
     return tree.select("host", "shape", "template").join(pure, ["host", "template"]).select("host", "shape", "template", "purity", "seen")
 
 
