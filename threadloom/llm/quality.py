@@ -159,20 +159,27 @@ def estimate(patterns: np.ndarray, times: np.ndarray, rounds: int = 100, tol: fl
     return prior, weights
 
 
+def fitted(voted: DataFrame) -> tuple[float, np.ndarray]:
+    """``estimate`` over a table of votes."""
+    seen = voted.groupBy(*voted.columns).count().collect()  # at most PATTERNS rows
+    return estimate(np.array([r[:-1] for r in seen], np.int8).reshape(-1, len(voted.columns)), np.array([r[-1] for r in seen], float))
+
+
+def _posterior(prior: float, weights: np.ndarray, names: list[str]) -> Column:
+    logit = F.lit(prior)
+    for name, (less, none, more) in zip(names, weights.tolist()):
+        logit = logit + F.when(F.col(name) == 1, more).when(F.col(name) == -1, less).otherwise(none)
+    return 1 / (1 + F.exp(-logit))
+
+
 def with_quality(counted: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``counted`` (columns ``COUNTS``) with votes, ``p_good``, ``base_failed`` and ``kept``.
 
     Accuracies are estimated on what passes the base: what fails it is decided already.
     """
-    cast = votes()
-    voted = counted.where(~base_failed()).select(*cast)
-    names = voted.columns
-    seen = voted.groupBy(*names).count().collect()  # at most PATTERNS rows
-    prior, weights = estimate(np.array([r[:-1] for r in seen], np.int8).reshape(-1, len(names)), np.array([r[-1] for r in seen], float))
-    logit = F.lit(prior)
-    for name, (less, none, more) in zip(names, weights.tolist()):
-        logit = logit + F.when(F.col(name) == 1, more).when(F.col(name) == -1, less).otherwise(none)
-    out = counted.select("*", *cast).withColumn("p_good", 1 / (1 + F.exp(-logit)))
+    voted = counted.where(~base_failed()).select(*votes())
+    prior, weights = fitted(voted)
+    out = counted.select("*", *votes()).withColumn("p_good", _posterior(prior, weights, voted.columns))
     failed = base_failed()
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("p_good") >= threshold))
 
@@ -183,12 +190,11 @@ def judged(docs: DataFrame, *keep: str, column: str = "text", threshold: float =
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text is kept. Text and verdict meet in one narrow pass; only counts take part in EM."""
-    fitted = with_quality(stored(counts(docs, column="text"), "quality"), threshold)
-    whole = _carried(docs)
-    names = [f"vote_{k}" for k in rules()]
-    verdict = fitted.groupBy(*names).agg(F.first("p_good").alias("p_good"))  # a pattern has one posterior
-    kept = whole.where(~base_failed()).select("*", *votes()).join(F.broadcast(verdict), names).where(F.col("p_good") >= threshold)
+    """The rows of ``docs`` whose text is kept. Each text is counted once: rows that pass the base are stored with their votes, of which EM reads the votes alone."""
+    voted = stored(_carried(docs).where(~base_failed()).select("__doc", *votes()), "votes")
+    names = [c for c in voted.columns if c != "__doc"]
+    prior, weights = fitted(voted.select(*names))
+    kept = voted.where(_posterior(prior, weights, names) >= threshold)
     return kept.select(*(F.col(f"__doc.`{c}`").alias(c) for c in docs.columns))
 
 
