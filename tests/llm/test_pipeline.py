@@ -63,5 +63,5 @@ def test_extra_columns_and_nulls(spark):
     assert P.quality_rules(spark, docs, folder).count() == 3
     lined = P.line_dedup(spark, docs, folder)
     assert sorted((r["doc_id"] or 0, r["node"] or "") for r in lined.collect()) == [(1, ""), (2, "b"), (2, "b")]
-    assert P.jaccard_join(spark, docs, folder).count() == 3
+    assert sorted((r["doc_id"] or 0, r["node"] or "") for r in P.jaccard_join(spark, docs, folder).collect()) == [(1, ""), (2, "b")]  # one row of the group
     assert P.decontamination(spark, docs, folder).columns == docs.columns

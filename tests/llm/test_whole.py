@@ -55,6 +55,58 @@ def test_only_the_copy_of_an_id_goes(spark):
     assert sorted(map(tuple, got), key=repr) == sorted([(1, a), (None, b), (None, None), (2, c)], key=repr)
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Repeated and null ids with equal, near and other texts, against a plain version."""
+    import random
+
+    from . import brute
+
+    r = random.Random(8)
+    words = [[f"{x}{k}" for k in range(80)] for x in "abcdef"]
+    near = lambda w: [x if r.random() > 0.01 else f"z{r.random()}" for x in w]
+    rows = [(r.choice([None, *range(9)]), r.choice(["", None, *[" ".join(r.choice([w, near(w)])) for w in words]]), k % 3) for k in range(90)]
+    rows += r.sample(rows, 20)
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    texts = sorted({t for _, t, _ in rows if t})
+    group = {t: c for t, (_, c) in zip(texts, brute.op8(list(enumerate(texts)), 5, 80).values())}
+    assert sum(not x["text"] for x in got) == sum(not t for _, t, _ in rows)
+    kept = [(x["doc_id"], x["text"]) for x in got if x["text"]]
+    assert sorted(group[t] for _, t in kept) == sorted(set(group.values()))
+    for i, t in kept:
+        mine = [j for j, u, _ in rows if u and group[u] == group[t]]
+        assert i == min((j for j in mine if j is not None), default=None) and (i, t) in {(j, u) for j, u, _ in rows}
+
+
+def test_classes_that_share_a_hash_are_told_apart(spark):
+    """With nodes of 4 bits nearly all sets collide, and nothing changes."""
+    from . import brute
+
+    rows = [(k, " ".join(f"w{(k // 2) * 1000 + j + (k % 2) * (j == 3)}" for j in range(30 + k % 5))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.joined(docs, 4, 85, node_bits=4).collect()}
+    assert got == brute.op8(rows)
+
+
+def test_hot_buckets_lose_no_link(spark):
+    """A passage that all documents share, as much of each as there may be, among near copies: with every bucket of three hot, components are the same."""
+    import random
+
+    from . import brute
+
+    r = random.Random(3)
+    passage = [f"p{k}" for k in range(120)]
+    rows = []
+    for k in range(150):
+        size, most = [(20, 40), (60, 120), (200, 120), (20, 120)][k // 3 % 4]
+        own, part = [f"o{k // 3}x{j}" for j in range(size)], passage[:most]
+        rows.append((k, " ".join([x if r.random() > 0.006 else f"z{r.random()}" for x in part + own])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute.op8(rows)
+    assert len({c for _, c in expected.values()}) < 140
+    for hot in (2, 20):
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.joined(docs, 4, 85, hot=hot).collect()} == expected
+
+
 def test_doublings_have_no_bound(spark):
     ring = spark.range(2**20 + 1).select(F.lit("c").alias("conv"))
     assert forest._steps_needed(ring, ["conv"]) == 21

@@ -24,7 +24,10 @@ a bucket sends one row for each map task's chunk to the shuffle. Linked pairs be
 components; a bucket whose members are all in one component is done. In the others, new
 pivots are taken, round by round, and at last members of different components are compared
 with each other, so no link between components is lost. Pairs within a component are
-never listed.
+never listed. Before that, a document leaves all its buckets of more than ``HOT`` members
+whose low and hot bands of a level are no more than e together: of e + 1 agreeing bands,
+one is neither then, and its bucket is compared whole. So documents that share a passage
+meet only if it is most of each of them.
 
 Edge cases: without words (null or empty text) a set is empty and linked with nothing;
 with fewer words than a shingle, the whole sequence is the only shingle; a null
@@ -47,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as X
-from ._sql import partitions
+from ._sql import met, partitions
 from ._store import discard, release, stored
 
 MIN_BITS, RATIO, SPARE = 256, 1.3, 0.2
@@ -59,6 +62,8 @@ BLOCK, TILE = 4096, 128
 BROADCAST_IDS = 1_000_000
 #: A table of so many rows is one partition.
 SMALL = 100_000
+#: A bucket of more members is hot.
+HOT = 256
 
 
 class Sets(NamedTuple):
@@ -71,9 +76,9 @@ class Sets(NamedTuple):
         return self.flat[self.first[i] : self.first[i + 1]]
 
 
-def shingles(texts: list[bytes], n: int) -> Sets:
+def shingles(texts: list[bytes], n: int, seed: int = 0) -> Sets:
     w = X.words(texts, X.NOT_WHITE, lower=True)
-    h, text, counts = X.hashes(w), w.text_of_word(), w.counts()
+    h, text, counts = X.hashes(w, seed), w.text_of_word(), w.counts()
     own = np.flatnonzero(X.whole(w, n))
     keys, of = X.windows(h, n)[own], text[own]
     short = np.flatnonzero((counts > 0) & (counts < n))
@@ -86,6 +91,17 @@ def shingles(texts: list[bytes], n: int) -> Sets:
     return Sets(keys[at], np.concatenate(([0], np.cumsum(np.bincount(of[at], minlength=len(texts))))))
 
 
+def set_hashes(s: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, which do not depend on order."""
+    out = []
+    for factor in (0xC6BC279692B5C323, 0xD1342543DE82EF95):
+        sums = np.zeros(len(s.flat) + 1, np.uint64)
+        np.cumsum(X.mix((s.flat ^ np.uint64(factor >> 1)) * np.uint64(factor)), out=sums[1:])
+        sizes = np.diff(s.first).astype(np.uint64)
+        out.append(X.mix(sums[s.first[1:]] - sums[s.first[:-1]] + sizes * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+    return out[0], out[1]
+
+
 class Levels(NamedTuple):
     low: np.ndarray  # smallest size of each level
     high: np.ndarray
@@ -106,8 +122,11 @@ def levels(percent: int) -> Levels:
     return Levels(np.array(low), np.array(high), np.where(differ > 0, differ + 1 + spare, 0), spare)
 
 
-def _keys(s: Sets, mixed: np.ndarray, text: np.ndarray, level: np.ndarray, lv: Levels) -> tuple[np.ndarray, np.ndarray]:
-    """The text and key of each band that takes part; ``level`` -1: none for this text."""
+def _keys(s: Sets, mixed: np.ndarray, text: np.ndarray, level: np.ndarray, lv: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text and key of each band that takes part, and how many hot bands each text may leave; ``level`` -1: none for this text.
+
+    A key's lowest bit is that of its level.
+    """
     m = np.where(level >= 0, lv.bands[level], 0)
     at = np.concatenate(([0], np.cumsum(m)))
     live = m[text] > 0
@@ -122,32 +141,33 @@ def _keys(s: Sets, mixed: np.ndarray, text: np.ndarray, level: np.ndarray, lv: L
     n_low = np.bincount(of[low], minlength=len(m))
     take = ~low | (n_low > lv.spare[level])[of]
     number = (np.arange(at[-1]) - at[of]).astype(np.uint64) * np.uint64(1 << 8) + level[of].astype(np.uint64)
-    return of[take], X.mix(sketch ^ X.mix(number + np.uint64(0x5851F42D4C957F2D)))[take]
+    keys = X.mix(sketch ^ X.mix(number + np.uint64(0x5851F42D4C957F2D))) & ~np.uint64(1) | (level[of] & 1).astype(np.uint64)
+    return of[take], keys[take], np.where(m > 0, lv.spare[level] - n_low, -1)
 
 
 def sketched(texts: list[bytes], n: int, percent: int) -> dict:
-    """Of each text: size, class (``node``), bit sketch in 64-bit words, and band keys."""
+    """Of each text: size, class (``node``) and what tells it from others (``check``), bit sketch in 64-bit words, band keys, and spare bands by a level's lowest bit."""
     s, lv = shingles(texts, n), levels(percent)
     sizes = np.diff(s.first)
     text = np.repeat(np.arange(len(texts)), sizes)
     mixed = X.mix(s.flat ^ np.uint64(0x9E6C63D0876A9A35))
-    total = np.zeros(len(texts) + 1, np.uint64)
-    np.cumsum(X.mix(mixed * np.uint64(0xC6BC279692B5C323)), out=(sums := np.zeros(len(mixed) + 1, np.uint64))[1:])
-    total = sums[s.first[1:]] - sums[s.first[:-1]]
-    node = X.mix(total + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    node, check = set_hashes(s)
     length = np.maximum(MIN_BITS, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
     at = np.concatenate(([0], np.cumsum(length)))
     flips = np.bincount(at[text] + (mixed & (length[text] - 1).astype(np.uint64)).astype(np.int64), minlength=at[-1]) & 1
     bits = np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
     level = np.searchsorted(lv.low, sizes, "right") - 1
     fresh = np.zeros(len(texts), bool)
-    fresh[np.unique(node, return_index=True)[1]] = True
+    fresh[np.unique(np.stack([node, check], 1), axis=0, return_index=True)[1]] = True
     level = np.where(fresh, level, -1)
     below = np.where((level > 0) & (percent * sizes <= 100 * lv.high[level - 1]), level - 1, -1)
     parts = [_keys(s, mixed, text, x, lv) for x in (level, below)]
     of, keys = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(of, kind="stable")
-    return {"sizes": sizes, "node": node, "bits": bits, "words": length // 64, "keys": keys[order].view(np.int64), "counts": np.bincount(of, minlength=len(texts))}
+    even = [np.where(x & 1 == 0, p[2], -1) for x, p in zip((level, below), parts)]
+    odd = [np.where(x & 1 == 1, p[2], -1) for x, p in zip((level, below), parts)]
+    spare = np.stack([np.maximum(*even), np.maximum(*odd)], 1)
+    return {"sizes": sizes, "node": node, "check": check, "spare": spare, "bits": bits, "words": length // 64, "keys": keys[order].view(np.int64), "counts": np.bincount(of, minlength=len(texts))}
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -156,8 +176,9 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
             yield first + k, texts[k : k + TEXTS]
 
 
-def sketches(docs: DataFrame, n: int, percent: int, *keep: str) -> DataFrame:
-    """(doc_id, size, node, bits, keys) of each row, and the columns ``keep``; node is null for an empty set."""
+def sketches(docs: DataFrame, n: int, percent: int, *keep: str, node_bits: int = 64) -> DataFrame:
+    """(doc_id, size, node, check, spare, bits, keys) of each row, and the columns ``keep``; node is null for an empty set. ``node_bits``: of a node's hash, for tests."""
+    cut = -1 << (64 - node_bits)
 
     def lists(counts: np.ndarray, values: np.ndarray) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values))
@@ -167,11 +188,12 @@ def sketches(docs: DataFrame, n: int, percent: int, *keep: str) -> DataFrame:
         for b in batches:
             for first, texts in _pieces(b["text"]):
                 x = sketched(texts, n, percent)
-                node = pa.array(x["node"], mask=x["sizes"] == 0)
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(first, len(texts)), pa.array(x["sizes"].astype(np.int64)), node, lists(x["words"], x["bits"]), lists(x["counts"], x["keys"]), *(b[c].slice(first, len(texts)) for c in keep)], names=["doc_id", "size", "node", "bits", "keys", *keep])
+                node = pa.array(x["node"] & cut, mask=x["sizes"] == 0)
+                spare = lists(np.full(len(texts), 2), x["spare"].astype(np.int32).ravel())
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(first, len(texts)), pa.array(x["sizes"].astype(np.int64)), node, pa.array(x["check"]), spare, lists(x["words"], x["bits"]), lists(x["counts"], x["keys"]), *(b[c].slice(first, len(texts)) for c in keep)], names=["doc_id", "size", "node", "check", "spare", "bits", "keys", *keep])
 
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("size", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType())), *(docs.schema[c] for c in keep)])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("size", T.LongType()), T.StructField("node", T.LongType()), T.StructField("check", T.LongType()), T.StructField("spare", T.ArrayType(T.IntegerType())), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType())), *(docs.schema[c] for c in keep)])
     return docs.select("doc_id", "text", *keep).mapInArrow(run, schema)
 
 
@@ -243,8 +265,21 @@ def may_link(n: Column, m: Column, a: Column, b: Column, percent: int) -> Column
 
 
 def classes(t: DataFrame) -> DataFrame:
-    """(node, size, bits, rep): rep is the smallest doc_id of the class."""
-    return t.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+    """(node, size, bits, spare, rep, check, other): rep is the smallest doc_id of the class; ``other`` isn't ``check`` where two classes share a node.
+
+    Spares are the greatest, as rows whose keys a block leaves out have none.
+    """
+    spare = F.array(*(F.max(F.get("spare", F.lit(k))) for k in (0, 1))).alias("spare")
+    return t.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bits").alias("bits"), spare, F.min("check").alias("check"), F.max("check").alias("other"))
+
+
+def told_apart(t: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sketches and classes in which no two classes share a node: all but the one of the least check get other nodes, again until none does."""
+    while not (twins := known.where("check <> other").select("node", F.col("check").alias("least"))).isEmpty():
+        other = F.when(F.col("check") != F.col("least"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+        t = stored(t.join(twins, "node", "left").withColumn("node", other).select(*t.columns), "sketches")
+        known = stored(classes(t), "classes")
+    return t, known
 
 
 def candidates(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -332,26 +367,28 @@ def compared(members: DataFrame, mixed: DataFrame, known: DataFrame, percent: in
     return ordered.mapInArrow(run, "node long, pivot long").distinct()
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, nodes: DataFrame, known: DataFrame, n: int) -> DataFrame:
     """(node, text) of the classes in ``nodes``; documents are read again, and only those of the classes' smallest ids go on."""
-    need = stored(nodes.join(known.select("node", "rep"), "node").select("rep").distinct(), "needed")
-    side = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
+    need = stored(nodes.join(known.select("node", "rep", "check"), "node"), "needed")
+    ids = need.select("rep").distinct()
+    side = F.broadcast(ids) if need.count() <= BROADCAST_IDS else ids
     chosen = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in _pieces(b["text"]):
-                x = sketched(texts, n, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(x["node"]), b["text"].slice(first, len(texts))], names=["node", "text"])
+                _, check = set_hashes(shingles(texts, n))
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(first, len(texts)), pa.array(check), b["text"].slice(first, len(texts))], names=["doc_id", "own", "text"])
 
-    found = chosen.mapInArrow(run, "node long, text string")
-    return found.groupBy("node").agg(F.first("text").alias("text"))
+    found = chosen.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("own", T.LongType()), T.StructField("text", T.StringType())]))
+    both = found.join(need, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("own") == F.col("check")))
+    return both.groupBy("node").agg(F.first("text").alias("text"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of ``pairs`` whose sets link, compared exactly."""
     pairs = stored(pairs, "candidates")
-    texts = _texts(docs, pairs.select("node").union(pairs.select(F.col("pivot").alias("node"))).distinct(), known, n, percent)
+    texts = _texts(docs, pairs.select("node").union(pairs.select(F.col("pivot").alias("node"))).distinct(), known, n)
     texts = stored(texts, "candidate-texts")
     both = pairs.join(texts.withColumnRenamed("text", "text_a"), "node").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("text_b")), "pivot")
 
@@ -359,10 +396,12 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, percen
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                sides = [[s.of(i) for _, texts in X.blocks(part[c]) for s in [shingles(texts, n)] for i in range(len(texts))] for c in ("text_a", "text_b")]
-                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides)]
-                good = pa.array([100 * c >= percent * (len(x) + len(y) - c) for x, y, c in zip(*sides, common)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part["node"], part["pivot"]], names=["node", "pivot"]).filter(good)
+                good = np.ones(part.num_rows, bool)
+                for seed in (0, 1):  # what two hashes of all shingles agree on
+                    sides = [[s.of(i) for _, texts in X.blocks(part[c]) for s in [shingles(texts, n, seed)] for i in range(len(texts))] for c in ("text_a", "text_b")]
+                    common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides)]
+                    good &= [100 * c >= percent * (len(x) + len(y) - c) for x, y, c in zip(*sides, common)]
+                yield pa.RecordBatch.from_arrays([part["node"], part["pivot"]], names=["node", "pivot"]).filter(pa.array(good))
 
     return stored(both.select("node", "pivot", "text_a", "text_b").mapInArrow(run, "node long, pivot long"), "links")
 
@@ -416,12 +455,21 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return _compact(both.select(F.coalesce("node", "label").alias("node"), F.coalesce("to", "root").alias("root")).distinct(), "roots")[0]
 
 
-def joined(docs: DataFrame, n: int, percent: int, *keep: str) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id) of each row of ``docs`` (doc_id, text), and its columns ``keep``."""
+def without_hot(open_: DataFrame, mixed: DataFrame, known: DataFrame, hot: int) -> DataFrame:
+    """``open_`` (key, node) without the rows in hot buckets of those whose hot bands of a level are no more than they may leave."""
+    heavy = stored(open_.join(mixed.where(F.col("all") > hot).select("key"), "key").withColumn("bit", F.col("key").bitwiseAND(F.lit(1)).cast("int")), "hot-buckets")
+    times = heavy.groupBy("node", "bit").agg(F.count("*").alias("times")).join(known.select("node", "spare"), "node")
+    leave = times.where(F.col("times") <= F.get("spare", F.col("bit"))).select("node", "bit")
+    gone = stored(heavy.join(leave, ["node", "bit"], "left_semi").select("key", "node"), "left-buckets")
+    return open_ if gone.isEmpty() else stored(open_.join(gone, ["key", "node"], "left_anti"), "cooled-buckets")
+
+
+def joined(docs: DataFrame, n: int, percent: int, *keep: str, hot: int = HOT, node_bits: int = 64) -> DataFrame:
+    """(doc_id, n_shingles, node, root, component_id) of each row of ``docs`` (doc_id, text), and its columns ``keep``; ``root`` names the component."""
     spark = docs.sparkSession
-    sketched_ = stored(sketches(docs, n, percent, *keep), "sketches")
+    sketched_ = stored(sketches(docs, n, percent, *keep, node_bits=node_bits), "sketches")
+    sketched_, known = told_apart(sketched_, stored(classes(sketched_), "classes"))
     t = stored(sketched_.select("doc_id", "size", "node", *keep), "sizes")
-    known = stored(classes(sketched_), "classes")
     members = stored(buckets(sketched_), "buckets")
     discard(sketched_)
     release(spark)
@@ -440,6 +488,9 @@ def joined(docs: DataFrame, n: int, percent: int, *keep: str) -> DataFrame:
         # buckets in one component are done and go
         labelled = stored(labelled.join(mixed.select("key", "pivot"), "key"), "open-buckets")
         open_ = labelled.select("key", "node")
+        if not turn and not mixed.where(F.col("all") > hot).isEmpty():
+            open_ = without_hot(open_, mixed, known, hot)
+            continue
         # new pivots as long as they leave far fewer pairs to compare
         last = left["pairs"] <= 8 * left["rows"] or left["pairs"] > before / 2
         before = left["pairs"]
@@ -456,17 +507,29 @@ def joined(docs: DataFrame, n: int, percent: int, *keep: str) -> DataFrame:
     release(spark)
     whole = known.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = whole.join(least, "root").select("node", "component_id")
+    named = whole.join(least, "root").select("node", "root", "component_id")
     out = t.select("doc_id", F.col("size").alias("n_shingles"), "node", *keep).join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"), *keep)
+    return out.select("doc_id", "n_shingles", "node", "root", F.coalesce("component_id", "doc_id").alias("component_id"), *keep)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without documents of a component but its smallest doc_id.
+    """``docs`` with one row of each component, that of the smallest doc_id, and of such with one id that of the least hash of its text.
 
-    A row goes by its id and a hash of its text, so other texts of the same id, or without one, stay.
+    Ids that are null come last. A row goes by its id and a hash of its text, so other texts of
+    the same id, or without one, stay; of rows with one id and text one stays. Rows without
+    words are in no component and stay.
     """
-    found = joined(docs.select("doc_id", "text", F.xxhash64("text").alias("__hash")), n, percent, "__hash")
-    gone = found.where((F.col("doc_id") != F.col("component_id")) | F.col("doc_id").isNull() & F.col("component_id").isNotNull()).select("doc_id", "__hash").distinct()
-    same = docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["__hash"])
-    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+    own = F.xxhash64("text")
+    found = stored(joined(docs.select("doc_id", "text", own.alias("__hash")), n, percent, "__hash").where(F.col("node").isNotNull()).select("root", "doc_id", "__hash"), "components")
+    place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "__hash")
+    several = found.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("root", "first")
+    rows = found.join(several, "root").groupBy("doc_id", "__hash").agg(F.count("*").alias("rows"), F.bool_or(place == F.col("first")).alias("stays"))
+    rows = stored(rows.select(F.col("doc_id").alias("__id"), F.col("__hash"), "rows", "stays"), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (own == F.col("__hash"))
+    kept = met(docs, own, stored(rows.where("NOT stays").select("__id", "__hash"), "gone"), same, "__hash", "left_anti")
+    repeated = stored(rows.where("stays AND rows > 1").select("__id", "__hash"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    once = kept.join(repeated, same, "left_semi").groupBy("doc_id", own).agg(F.min_by(whole, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("__doc"))
+    return kept.join(repeated, same, "left_anti").unionByName(once.select("__doc.*"))
