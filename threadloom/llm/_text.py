@@ -156,3 +156,4 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, list[byte
         held += len(t)
     if out:
         yield first, out
+    pa.default_memory_pool().release_unused()
