@@ -16,7 +16,7 @@ def session(name: str, **conf: str) -> SparkSession:
 
 
 #: Rows of an Arrow batch, so that batches of long texts stay small in executors and their Python workers.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
