@@ -287,3 +287,31 @@ def test_bitmaps_rule_out_only_what_is_not_there(spark):
     left = met(docs, F.col("h"), found, F.col("id") == F.col("__id"), "__h", "left")
     assert left.count() == 5000 and left.where("__what = 'x'").count() == found.count()
     assert met(docs, F.col("h"), found, F.col("id") == F.col("__id"), "__h", "left_anti").count() == 5000 - found.count()
+
+
+def test_bpe_waves():
+    """Pieces' ids are those of a plain loop; a rank is looked up for each pair of a wave, not for each merge."""
+    import random
+
+    from threadloom.llm import bpe
+
+    def plain(piece, ranks):
+        parts = [bytes([x]) for x in piece]
+        while True:
+            found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not found:
+                return [ranks[x] for x in parts]
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    c, r = bpe.Codec(Q.tokenizer("byte_bpe_multi_50k.tiktoken"), Q.pattern()), random.Random(7)
+    syllables = ["an", "tion", "ou", "è", "ß", "sch", "aa", "a", "ción", "的", "😀", "th", "\x00", " "]
+    pieces = {"".join(r.choices(syllables, k=r.choice((1, 2, 3, 5, 8, 40)))) for _ in range(4000)} | {"a" * n for n in range(1, 90)}
+    asked, rank = [], c.merges.rank
+    c.merges.rank = lambda pair: asked.append(pair) or rank(pair)
+    c.learn({p for p in pieces if len(p.encode()) <= bpe.WAVE})
+    merges = sum(len(p.encode()) - len(ids) // 4 for p, ids in c.known.items())
+    assert len(asked) < merges / 2
+    c.learn(pieces)
+    assert {p: list(memoryview(ids).cast("I")) for p, ids in c.known.items()} == {p: [t] if (t := c.ranks.get(p.encode())) is not None else plain(p.encode(), c.ranks) for p in pieces}
+    assert max(len(p.encode()) for p in pieces) > bpe.WAVE

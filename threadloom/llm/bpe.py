@@ -1,10 +1,12 @@
 """Byte-level BPE by corpus-level merge replay, and decoding.
 
 The distinct pieces of a block of texts are a corpus of byte sequences. An inverted
-index leads from each pair of neighbouring tokens to the pieces that hold it. Pairs
-leave a heap in order of their rank; each merge visits the indexed pieces alone and
-updates the index for the new neighbours only. Encoded pieces are kept by the Python
-worker, so later blocks replay merges for new pieces only.
+index leads from each pair of neighbouring tokens to the places that hold it. Pieces
+replay their merges in waves: in each, a pair of the index merges wherever it is its
+piece's leftmost of the lowest rank, and only the pairs of the new neighbours are indexed
+again. A piece of more than ``WAVE`` bytes would need too many waves: for those, pairs
+leave a heap in order of their rank, and a merge visits all places of its pair. Encoded
+pieces are kept by the Python worker, so later blocks replay merges for new pieces only.
 
 Scale: a narrow pass, one task's memory is bounded by a block of texts, the kept pieces
 (``KNOWN``) and, for a very long text, ``PIECES`` pieces at a time.
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 
 from . import _text as X
 
-KNOWN, PAIRS, PIECES, LONG_TEXT = 120_000, 500_000, 1 << 19, 1 << 21
+KNOWN, PAIRS, PIECES, LONG_TEXT, WAVE = 120_000, 500_000, 1 << 19, 1 << 21, 64
 
 
 class Merges:
@@ -58,8 +60,48 @@ class Merges:
         return r
 
 
+def waves(pieces: list[bytes], merges: Merges) -> list[bytes]:
+    """Token ids of each piece as little-endian 32-bit integers. No piece may be empty.
+
+    All pieces lie in one row of places; tokens that a merge uses up and pieces without a
+    pair to merge leave it after each wave.
+    """
+    shift, none, low = Merges.SHIFT, 1 << Merges.SHIFT, (1 << 40) - 1
+
+    def indexed(at: np.ndarray) -> None:
+        """Ranks of the pairs that start at these places; each pair's is found once."""
+        pairs, back = np.unique(token[at] << shift | token[at + 1], return_inverse=True)
+        ranks = np.fromiter(map(merges.rank, pairs.tolist()), np.int64, len(pairs))
+        rank[at] = np.where(ranks < 0, none, ranks)[back]
+
+    token = np.array(merges.single, np.int64)[np.frombuffer(b"".join(pieces), np.uint8)]
+    rank = np.full(len(token), none, np.int64)
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    end, piece, out = np.cumsum(size), np.arange(len(pieces)), [b""] * len(pieces)
+    inner = np.ones(len(token), bool)
+    inner[end - 1] = False
+    indexed(np.flatnonzero(inner))
+    while len(piece):
+        first = np.minimum.reduceat(rank << 40 | np.arange(len(rank)), end - size)
+        done = first >= none << 40
+        over = np.repeat(done, size)
+        ids, stop = token[over].astype("<u4").tobytes(), (4 * np.cumsum(size[done])).tolist()
+        for i, a, b in zip(piece[done].tolist(), [0, *stop], stop):
+            out[i] = ids[a:b]
+        at = first[~done] & low
+        token[at] = rank[at]
+        over[at + 1] = True
+        stays = ~over
+        at = (np.cumsum(stays) - 1)[at]
+        token, rank, piece, size = token[stays], rank[stays], piece[~done], size[~done] - 1
+        end = np.cumsum(size)
+        rank[at] = none
+        indexed(np.concatenate([at[at + 1 < end], at[at > end - size] - 1]))
+    return out
+
+
 def replay(pieces: list[bytes], merges: Merges) -> list[list[int]]:
-    """Token ids of each piece; all of a pair's merges in the corpus happen when its rank is the lowest left.
+    """Token ids of each piece, of any length; all of a pair's merges in the corpus happen when its rank is the lowest left.
 
     All pieces lie in one row of places, linked to their neighbours. Within a piece the
     leftmost pair of the lowest rank merges first. If that makes a pair of a lower rank
@@ -145,39 +187,39 @@ class Codec:
     def learn(self, pieces: Iterable[str]) -> None:
         if len(self.known) > KNOWN:
             self.known, self.older = {}, self.known
-        new = []
+        known, short, long = self.known, {}, {}
         for p in pieces:
-            if p not in self.known:
+            if p not in known:
                 if (ids := self.older.get(p)) is not None:
-                    self.known[p] = ids
+                    known[p] = ids
+                elif (t := self.ranks.get(raw := p.encode())) is not None:  # a piece that is a token stays whole
+                    known[p] = t.to_bytes(4, "little")
                 else:
-                    new.append(p)
-        raw = [p.encode() for p in new]
-        whole = [self.ranks.get(r) for r in raw]  # a piece that is a token stays whole
-        rest = iter(replay([r for r, t in zip(raw, whole) if t is None], self.merges))
-        for p, t in zip(new, whole):
-            self.known[p] = np.array(next(rest) if t is None else [t], "<u4").tobytes()
+                    (short if len(raw) <= WAVE else long)[p] = raw
+        if short:
+            known.update(zip(short, waves(list(short.values()), self.merges)))
+        for p, ids in zip(long, replay(list(long.values()), self.merges)):
+            known[p] = np.array(ids, "<u4").tobytes()
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         pieces = [self.split.findall(t) for t in texts]
         self.learn(set(chain.from_iterable(pieces)))
-        known = self.known
-        return [b"".join([known[x] for x in p]) for p in pieces]
+        known = self.known.__getitem__
+        return [b"".join(map(known, p)) for p in pieces]
 
     def encode_long(self, text: str) -> bytes:
         """The same in parts, so that a text's pieces are not all held at once."""
         found, out = (m.group() for m in self.split.finditer(text)), []
         while part := list(islice(found, PIECES)):
             self.learn(set(part))
-            out.append(b"".join([self.known[x] for x in part]))
+            out.append(b"".join(map(self.known.__getitem__, part)))
         return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self.encode_long(t) for t in texts] if any(len(t) > LONG_TEXT for t in texts) else self.encode_block(texts)
 
     def decode(self, ids: bytes) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @cache
