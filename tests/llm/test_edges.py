@@ -122,3 +122,41 @@ def test_boosted_trees_held_out():
         right.append((keep[seen] == (y[seen] > 0)).mean())
         assert all(keep[n.parent.index] for n in nodes[1:] if keep[n.index])
     assert np.mean(right) > 0.98
+
+
+def test_workers_give_back():
+    """What BPE keeps in a Python worker goes when another operator runs there, and freed blocks go back to the system."""
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    from threadloom.llm import _text
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) >> 10
+
+    bpe.codec(Q.tokenizer("byte_bpe_multi_50k.tiktoken"), Q.pattern())
+    batch = pa.RecordBatch.from_pydict({"__text": ["one text"]})
+    assert next(quality._count("__text")(iter([batch])))["n_words"].to_pylist() == [2] and not bpe.codec.cache_info().currsize
+    freed = [np.ones(1 << 13, np.int8) for _ in range(20_000)]  # 160 MB in pieces below malloc's mmap threshold
+    last, before = freed[-1], held()
+    del freed
+    list(_text.blocks(batch["__text"]))
+    assert len(last) and before - held() > 100
+
+
+def test_vectored_reads(spark):
+    from threadloom.session import VECTORED, ship
+
+    was = spark.conf.get(VECTORED, None)
+    try:
+        spark.conf.unset(VECTORED)
+        ship(spark)
+        assert spark.conf.get(VECTORED) == "false"
+        spark.conf.set(VECTORED, "true")
+        ship(spark)
+        assert spark.conf.get(VECTORED) == "true"
+    finally:
+        spark.conf.set(VECTORED, was or "false")

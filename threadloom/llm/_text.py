@@ -5,13 +5,16 @@ counts as a word byte; this is the same as splitting by code points, since both
 word classes in use hold every code point above 127.
 
 Memory: texts are handled in blocks of about ``BLOCK`` bytes (a longer text is a
-block of its own), each needing some ten times its size.
+block of its own), each needing some ten times its size. After a batch the worker gives
+back what it no longer needs, which allocators would keep otherwise.
 """
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -143,6 +146,27 @@ def whole(w: Words, n: int) -> np.ndarray:
     return text[:size] == text[n - 1 : n - 1 + size]
 
 
+#: Of what operators keep in a Python worker between tasks: functions that let it go.
+KEPT: list[Callable[[], object]] = []
+
+
+def forget() -> None:
+    """Lets go what other operators have kept in this Python worker, before one that needs none of it."""
+    for f in KEPT:
+        f()
+
+
+@cache
+def _trim() -> Callable[[int], int]:
+    """The C library's ``malloc_trim``, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:
     """Texts as UTF-8, null as empty, in blocks; with the index of each block's first."""
     out: list[bytes] = []
@@ -156,4 +180,4 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, list[byte
         held += len(t)
     if out:
         yield first, out
-    pa.default_memory_pool().release_unused()
+    give_back()

@@ -228,6 +228,9 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+X.KEPT.append(codec.cache_clear)
+
+
 def _mapped(docs: DataFrame, keep: tuple[str, ...], column: str, path: str, pattern: str, names: dict[str, T.DataType], row) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)

@@ -185,6 +185,7 @@ def sketches(docs: DataFrame, n: int, percent: int, *keep: str, node_bits: int =
 
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        X.forget()
         for b in batches:
             for first, texts in _pieces(b["text"]):
                 x = sketched(texts, n, percent)

@@ -82,6 +82,7 @@ def _count(column: str, field: str | None = None):
     """Adds the ``COUNTS`` of a column, which goes, or of a field of a struct column, which stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        X.forget()
         for b in batches:
             if not b.num_rows:
                 continue
