@@ -94,10 +94,14 @@ def recount(raw: DataFrame) -> DataFrame:
 
 def reconcile(t: dict[str, DataFrame], found: dict, again: DataFrame) -> list[dict]:
     """Rows per shard; index, summary and a second reading have to agree. An empty shard counts as zeros."""
-    mine = S.per_shard(t["nodes"], t["conversations"])
     columns = ["shard", "conversations", "nodes", "messages"]
-    need(same_rows(mine.select(columns), again.select(columns)), "SHARD_RECONCILIATION")
-    rows = [r.asDict() for r in mine.orderBy("shard").collect()]  # a row for each shard
+    mine, again = S.per_shard(t["nodes"], t["conversations"]).select(columns).persist(), again.select(columns).persist()
+    try:
+        need(same_rows(mine, again), "SHARD_RECONCILIATION")
+        rows = [r.asDict() for r in mine.orderBy("shard").collect()]  # a row for each shard
+    finally:
+        mine.unpersist()
+        again.unpersist()
     counts = found["counts"]
     need(all(counts[k] == sum(r[k] for r in rows) for k in columns[1:]), "TOTAL_RECONCILIATION")
     need(sum(found["roles"].values()) == sum(found["content_types"].values()) == counts["messages"], "ENUM_RECONCILIATION")

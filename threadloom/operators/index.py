@@ -1,9 +1,10 @@
-"""The structural index: tables of digests, enums and numbers, a partition for each shard and batch.
+"""The structural index: tables of digests, enums and numbers, a partition for each commit.
 
-Conversations are indexed in batches of ``BATCH`` of each shard, of all shards at once. A
-batch's rows are written to all tables first and its row in ``shards`` last, so a batch counts
-when it is committed, and a shard when its last one is. A run that was cut off goes on behind
-what is committed, by overwriting the partitions of the batch that was not.
+Conversations are indexed in batches of ``BATCH`` of each shard, of all shards at once; one
+commit has the next batch of each, so small shards share files. Its rows are written to all
+tables first and its batches to ``shards`` last, so a batch counts when it is committed, and a
+shard when its last one is. A run that was cut off goes on behind what is committed: a commit
+is named by its batches, so it is written over if they are tried again, and read by nobody else.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import constants as K
+from ..functions.digests import digest
 from ..functions.errors import need
 from ..sources.strict_json import load
 from . import linkage
@@ -75,10 +77,14 @@ class Index:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def _place(self, name: str) -> tuple:
+        """Hadoop's file system and path."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
     def _exists(self, name: str) -> bool:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        store, at = self._place(name)
+        return store.exists(at)
 
     def bind(self, fingerprint: str) -> None:
         """The first run leaves its fingerprint; a later one must have the same."""
@@ -88,11 +94,12 @@ class Index:
             self.spark.createDataFrame([("fingerprint", fingerprint)], "key string, value string").coalesce(1).write.parquet(f"{self.folder}/run")
 
     def batches(self) -> DataFrame:
-        """A row for each committed batch."""
-        schema = "committed long, status string, shard long, batch long"
+        """A row for each committed batch, of the first commit that has it."""
+        schema = "committed long, status string, shard long, batch long, commit string"
         if not self._exists("shards"):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/shards")
+        first = F.min_by(F.struct("committed", "status", "commit"), "commit").alias("first")
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/shards").groupBy("shard", "batch").agg(first).select("first.committed", "first.status", "shard", "batch", "first.commit")
 
     def shards(self) -> DataFrame:
         """(shard, committed, status): how many conversations of each shard are committed, ``complete`` or still ``indexing``."""
@@ -102,8 +109,17 @@ class Index:
     def complete(self) -> set[int]:
         return {r["shard"] for r in self.shards().where("status = 'complete'").select("shard").collect()}  # shards: few
 
-    def _put(self, name: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard", "batch").parquet(f"{self.folder}/{name}")
+    def _put(self, name: str, commit: str, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/commit={commit}")
+
+    def sweep(self) -> None:
+        """Removes what runs that were cut off left without a commit; for who alone writes to the index."""
+        kept = {f"commit={r['commit']}" for r in self.batches().select("commit").distinct().collect()}
+        for name in TABLES:
+            store, at = self._place(name)
+            for status in store.listStatus(at) if store.exists(at) else ():
+                if status.getPath().getName().startswith("commit=") and status.getPath().getName() not in kept:
+                    store.delete(status.getPath(), True)
 
     def add(self, shards: list[int], raw: DataFrame, aliases: linkage.Aliases, interrupt: bool = False, batch: int = BATCH, committed: Callable[[], object] | None = None) -> list[int]:
         """Indexes those of ``shards`` that are not complete, from what is committed on; gives them.
@@ -118,16 +134,17 @@ class Index:
             need(all(ends.get(s, -1) + 1 >= todo[s] for s in resumed), "CHECKPOINT_PAST_EOF")
         while todo:
             starts = self.spark.createDataFrame([(s, n) for s, n in sorted(todo.items())], "shard long, batch long")
+            commit = f"c{digest([[s, n] for s, n in sorted(todo.items())])}"
             part = raw.join(F.broadcast(starts), "shard").where((F.col("ordinal") >= F.col("batch")) & (F.col("ordinal") < F.col("batch") + batch))
             rows = analysed(part).persist()
             try:
                 for name, df in tables(rows, aliases).items():
-                    self._put(name, df.join(F.broadcast(starts), "shard"))
+                    self._put(name, commit, df.join(F.broadcast(starts), "shard"))
                 need(not interrupt, "SYNTHETIC_INTERRUPT")
                 n = F.coalesce("n", F.lit(0))
                 done = starts.join(rows.groupBy("shard").agg(F.count("*").alias("n")), "shard", "left")
                 done = done.select((F.col("batch") + n).alias("committed"), F.when(n < batch, "complete").otherwise("indexing").alias("status"), "shard", "batch")
-                self._put("shards", done.coalesce(1))
+                self._put("shards", commit, done.coalesce(1))
             finally:
                 rows.unpersist()
             if committed:
@@ -144,8 +161,8 @@ class Index:
         """Rows of complete shards."""
         if not self._exists(name):
             return self.spark.createDataFrame([], _schema(name))
-        done = self.batches().join(self.shards().where("status = 'complete'").select("shard"), "shard", "left_semi").select("shard", "batch")
-        return self.spark.read.schema(f"{_schema(name)}, batch long").parquet(f"{self.folder}/{name}").join(done, ["shard", "batch"], "left_semi").drop("batch")
+        done = self.batches().join(self.shards().where("status = 'complete'").select("shard"), "shard", "left_semi").select("shard", "batch", "commit")
+        return self.spark.read.schema(f"{_schema(name)}, batch long, commit string").parquet(f"{self.folder}/{name}").join(done, ["shard", "batch", "commit"], "left_semi").drop("batch", "commit")
 
 
 def _schema(name: str) -> str:

@@ -92,7 +92,7 @@ def build(spark: SparkSession, ws: Workspace, interrupt_after: int | None = None
         index = Index(spark, f"{located(out)}/structural_index")
         fingerprint = digest([SCHEMA_VERSION, INDEX_VERSION, ledger["source"], code_digest()])
         index.bind(fingerprint)
-        raw = read_arrays(spark, files)
+        read = lambda shards: read_arrays(spark, {s: files[s] for s in shards})
 
         def progress() -> None:
             rows = [[r["shard"], r["committed"], r["status"]] for r in index.shards().orderBy("shard").collect()]
@@ -100,13 +100,17 @@ def build(spark: SparkSession, ws: Workspace, interrupt_after: int | None = None
 
         progress()
         if interrupt_after is not None and interrupt_after < len(files):
-            index.add(list(files)[:interrupt_after], raw, aliases)
+            first, then = list(files)[:interrupt_after], [list(files)[interrupt_after]]
+            index.add(first, read(first), aliases)
             progress()
-            index.add([list(files)[interrupt_after]], raw, aliases, interrupt=True)
-        index.add(list(files), raw, aliases, committed=lambda: (progress(), ws.room()))
+            index.add(then, read(then), aliases, interrupt=True)
+        complete = index.complete()
+        left = [s for s in files if s not in complete]
+        index.add(left, read(left), aliases, committed=lambda: (progress(), ws.room()))
+        index.sweep()
         t = tables(index)
         found = summary.summary(t)
-        per_shard = checks.reconcile(t, found, checks.recount(raw))
+        per_shard = checks.reconcile(t, found, checks.recount(read(files)))
         checks.keys_hold(t)
         privacy = checks.privacy_audit(t)
         _staged_same(folder, ledger, "STAGED_FINAL_HASH")

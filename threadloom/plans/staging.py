@@ -52,14 +52,14 @@ def directory_matches(spark: SparkSession, archive: Path, entries: list[dict]) -
     need(discovery.directory_differences(now, then).isEmpty(), "DIRECTORY_IDENTITY")
 
 
-def _copied(archive: str, ordinal: int, target: Path, size: int, crc32: str) -> tuple[int, str, str]:
+def _copied(z: zipfile.ZipFile, info: zipfile.ZipInfo, target: Path, size: int, crc32: str) -> tuple[int, str, str]:
     """Streams a member to ``target``; an existing file is adopted if a fresh reading of the source agrees."""
     sha, n, crc = hashlib.sha256(), 0, 0
     target.parent.mkdir(parents=True, exist_ok=True)
     partial = target.with_name(f"{target.name}.partial-{os.getpid()}")
     out = None if target.exists() else open(partial, "wb")
     try:
-        with opened(archive) as f, zipfile.ZipFile(f) as z, z.open(z.infolist()[ordinal]) as member:
+        with z.open(info) as member:
             while piece := member.read(1 << 20):
                 sha.update(piece)
                 crc, n = zlib.crc32(piece, crc), n + len(piece)
@@ -143,13 +143,15 @@ def stage(spark: SparkSession, ws: Workspace) -> dict:
             source, base = str(archive), str(folder)
 
             def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for x in parts:
-                    for entry, o, d, n, c in zip(x["entry_id"], x["ordinal"], x["destination"], x["size"], x["crc32"]):
-                        _noted(Path(base), entry, _copied(source, o, Path(base) / d, n, c))
-                    yield x[["entry_id"]]
+                with opened(source) as f, zipfile.ZipFile(f) as z:
+                    members = z.infolist()
+                    for x in parts:
+                        for entry, o, d, n, c in zip(x["entry_id"], x["ordinal"], x["destination"], x["size"], x["crc32"]):
+                            _noted(Path(base), entry, _copied(z, members[o], Path(base) / d, n, c))
+                        yield x[["entry_id"]]
 
             work = spark.createDataFrame([(r["entry_id"], r["zip_directory_index"], r["destination"], r["uncompressed_bytes"], r["crc32"]) for r in todo], "entry_id string, ordinal int, destination string, size long, crc32 string")
-            copied = work.repartition(len(todo), "entry_id").mapInPandas(run, "entry_id string").count()
+            copied = work.repartition(min(len(todo), 4 * spark.sparkContext.defaultParallelism), "entry_id").mapInPandas(run, "entry_id string").count()
             need(copied == len(todo), "STAGING_PLAN_CHANGED")
             _adopt(folder, ledger)
             atomic_write(ws, folder / LEDGER, ledger)

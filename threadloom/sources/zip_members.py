@@ -2,7 +2,7 @@
 
 ``zip_members``: a row for each directory entry, in directory order, with the bounded prefix
 that later steps look at; no payload beyond that is read. ``json_array``: elements of a member
-or file that holds a JSON array, framed strictly, a task for each file. Archives are opened by
+or file that holds a JSON array, framed strictly, each file within one task. Archives are opened by
 the executors through pyarrow's file systems, so the path may be local, shared or in a store.
 """
 
@@ -24,9 +24,13 @@ from ..session import ship
 from .strict_json import array_items, file_chunks
 
 
+def _placed(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def opened(path: str):
     """A seekable stream of a local path or URI."""
-    store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    store, at = _placed(path)
     return store.open_input_file(at)
 
 
@@ -127,28 +131,51 @@ class ZipMembers(DataSource):
         return MembersReader([p for p in self.options["path"].split("\n") if p], int(self.options.get("split", 512)))
 
 
-class File(InputPartition):
-    def __init__(self, shard: int, place: str):
-        super().__init__((shard, place))
-        self.shard, self.place = shard, place
+class Files(InputPartition):
+    def __init__(self, files: list[tuple[int, str]]):
+        super().__init__(tuple(files))
+        self.files = files
 
 
-class ArrayReader(DataSourceReader):
-    """One task a file: an element's place in the array is known to who reads from the start only."""
+#: Bytes of small files that a task reads at most, and what a file counts besides its own.
+TASK_BYTES, FILE_BYTES = 64 << 20, 4096
 
-    def __init__(self, files: list[tuple[int, str]], archive: str | None):
-        self.files, self.archive = files, archive
 
-    def partitions(self) -> list[File]:
-        return [File(*f) for f in self.files]
+class ArrayReader(DataSourceReader):
+    """A file is never cut, as an element's place in the array is known to who reads from the start only; small files share a task."""
+
+    def __init__(self, files: list[tuple[int, str]], archive: str | None, tasks: int):
+        self.files, self.archive, self.tasks = files, archive, tasks
 
-    def read(self, partition: File) -> Iterator[tuple]:
+    def _sizes(self) -> list[int]:
         if self.archive:
-            with opened(self.archive) as f, zipfile.ZipFile(f) as z, z.open(z.infolist()[int(partition.place)]) as member:
-                yield from self._items(partition.shard, member)
+            with opened(self.archive) as f, zipfile.ZipFile(f) as z:
+                members = z.infolist()
+            return [members[int(place)].file_size for _, place in self.files]
+        return [store.get_file_info(at).size or 0 for store, at in (_placed(place) for _, place in self.files)]
+
+    def partitions(self) -> list[Files]:
+        sizes = [n + FILE_BYTES for n in self._sizes()]
+        most, held, out = min(TASK_BYTES, -(-sum(sizes) // self.tasks)), 0, []
+        for file, n in zip(self.files, sizes):
+            if not out or held + n > most:
+                out.append([])
+                held = 0
+            out[-1].append(file)
+            held += n
+        return [Files(files) for files in out] or [Files([])]
+
+    def read(self, partition: Files) -> Iterator[tuple]:
+        if self.archive and partition.files:
+            with opened(self.archive) as f, zipfile.ZipFile(f) as z:
+                members = z.infolist()
+                for shard, place in partition.files:
+                    with z.open(members[int(place)]) as member:
+                        yield from self._items(shard, member)
         else:
-            with opened(partition.place) as f:
-                yield from self._items(partition.shard, f)
+            for shard, place in partition.files:
+                with opened(place) as f:
+                    yield from self._items(shard, f)
 
     @staticmethod
     def _items(shard: int, stream) -> Iterator[tuple]:
@@ -159,7 +186,7 @@ class ArrayReader(DataSourceReader):
 
 
 class JsonArray(DataSource):
-    """Options: files, as lines ``shard<TAB>path``, or with ``archive`` as lines ``shard<TAB>ordinal``."""
+    """Options: files, as lines ``shard<TAB>path``, or with ``archive`` as lines ``shard<TAB>ordinal``; tasks, about how many are wanted where files are small."""
 
     @classmethod
     def name(cls) -> str:
@@ -170,7 +197,7 @@ class JsonArray(DataSource):
 
     def reader(self, schema) -> ArrayReader:
         files = [x.split("\t", 1) for x in self.options["files"].split("\n") if x]
-        return ArrayReader([(int(a), b) for a, b in files], self.options.get("archive"))
+        return ArrayReader([(int(a), b) for a, b in files], self.options.get("archive"), int(self.options.get("tasks", len(files) or 1)))
 
 
 def register(spark: SparkSession) -> None:
@@ -186,5 +213,5 @@ def read_members(spark: SparkSession, *paths: str):
 
 def read_arrays(spark: SparkSession, files: dict[int, str], archive: str | None = None):
     register(spark)
-    reader = spark.read.format("json_array").option("files", "\n".join(f"{k}\t{v}" for k, v in sorted(files.items())))
+    reader = spark.read.format("json_array").option("files", "\n".join(f"{k}\t{v}" for k, v in sorted(files.items()))).option("tasks", 4 * spark.sparkContext.defaultParallelism)
     return (reader.option("archive", archive) if archive else reader).load()
